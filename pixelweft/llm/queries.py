@@ -61,3 +61,59 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = workspace(spark, "op4")
     write_bundles(table(spark, sf_dir, "pages"), out)
     return read_bundles(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_fertility_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pixelweft.llm.fertility import judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    done = judge(docs, public_tokenizers.path("piece_bpe_32k.model"), workspace(spark, "op7"), keep_text=False)
+    base = [f"pw_stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return done.select("doc_id", *base, "base_failed", "kept", *[f"pw_stats.{c}" for c in ("n_tokens", "chars_per_token", "byte_share", "entropy_share")])
+
+
+@query(
+    "op2_site_lines",
+    r"""WITH l AS (SELECT rowid AS r, doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) AS pos
+         FROM (SELECT row_number() OVER () AS rowid, * FROM documents) d),
+       t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare FROM l),
+       n AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+       b AS (SELECT c.source, c.bare FROM (SELECT source, bare, count(DISTINCT r) AS k FROM t WHERE bare <> '' GROUP BY ALL) c
+         JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE k >= 5 AND k / pages > 0.1),
+       m AS (SELECT t.*, b.bare IS NOT NULL AS bad FROM t LEFT JOIN b ON t.source IS NOT DISTINCT FROM b.source AND t.bare = b.bare),
+       g AS (SELECT r, count(*) FILTER (WHERE bare <> '') AS n_lines, count(*) FILTER (WHERE bad) AS n_dropped,
+           coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT bad), '') AS left_text FROM m GROUP BY r)
+       SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, md5(left_text) AS text_md5
+       FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) d LEFT JOIN g USING (r)""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from pixelweft.llm.line_dedup import drop_boilerplate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    done = drop_boilerplate(docs, workspace(spark, "op2"), host_col="source")
+    return done.select("doc_id", F.col("pw_lines").alias("n_lines"), F.col("pw_dropped").alias("n_dropped"), F.md5("text").alias("text_md5"))
+
+
+@query("op8_license_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from pixelweft.llm.license_scan import scan
+
+    done = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("pw_by_line").alias("by_line"), F.col("pw_wrapped").alias("wrapped"), F.array_join("pw_rules", ",").alias("rules"), F.array_join("pw_licenses", ",").alias("licenses"))
+
+
+def _license_sql() -> str:
+    from pixelweft.llm.license_scan import oracle_sql
+
+    return oracle_sql()
+
+
+ORACLE["op8_license_rules"] = _license_sql()
