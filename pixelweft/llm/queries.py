@@ -117,3 +117,26 @@ def _license_sql() -> str:
 
 
 ORACLE["op8_license_rules"] = _license_sql()
+
+
+@query(
+    "op5_phrase_index",
+    r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+       b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+       p AS (SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(range(greatest(1, len(w) - 9)), lambda i: array_to_string(w[i + 1 : i + 10], ' '))) AS phrase FROM b WHERE len(w) > 0),
+       n AS (SELECT DISTINCT n FROM p),
+       dw AS (SELECT r, n.n, unnest(range(len(w) - n.n + 1)) AS i, w FROM d, n WHERE len(w) >= n.n),
+       dp AS (SELECT r, n, i, array_to_string(w[i + 1 : i + n], ' ') AS phrase FROM dw),
+       m AS (SELECT DISTINCT r, dp.n, i, item_id FROM dp JOIN p USING (n, phrase)),
+       h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS x FROM m) GROUP BY r),
+       it AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
+       SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+       FROM d LEFT JOIN h USING (r) LEFT JOIN it USING (r)""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from pixelweft.llm.phrase_index import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), workspace(spark, "op5"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
