@@ -140,3 +140,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), workspace(spark, "op5"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op6_interpolated_lm")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelweft.llm.interpolated_lm import train_and_score
+
+    return train_and_score(table(spark, sf_dir, "documents"), workspace(spark, "op6")).scores
