@@ -18,6 +18,8 @@ Empty tables give no file and no row.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -34,8 +36,10 @@ MAGIC = b"EFIDS\x001\n"
 HEAD = struct.Struct("<8sIQQQqQQ")
 EF_HEAD = struct.Struct("<QQBQQQ")
 SAMPLE = 256
-#: Distinct chunks whose ids a worker keeps at once; the memo starts afresh beyond it.
+#: Distinct chunks whose ids a worker keeps at once; half go beyond it.
 MEMO = 400_000
+#: Marks that may follow a chunk's letters.
+MARKS = ".,!?"
 
 
 class EliasFano:
@@ -132,33 +136,69 @@ def pack(doc_ids: list[int | None], runs: list[bytes], width: int) -> bytes:
 
 class Encoder:
     """Text to token bytes. The pre-tokenizer drops white space and no token crosses it, so a text is
-    encoded chunk by chunk between blanks and line feeds, and frequent chunks only once."""
+    encoded chunk by chunk between blanks and line feeds, and frequent chunks only once. It also parts
+    letters from marks behind them and lower-cases, so a chunk of letters and final marks is put
+    together from its lower-case letters and its marks."""
 
     def __init__(self, tokenizer_path: str, end_id: int | None):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.width = 2 if max(self.tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
         self.end = b"" if end_id is None else int(end_id).to_bytes(self.width, "little")
+        self.splits = self._splits_marks()
         self.memo: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _splits_marks(self) -> bool:
+        """Whether this tokenizer lower-cases letters and parts them from marks."""
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        return all(ids(f"Ab{m}") == ids("ab") + ids(m) for m in (*MARKS, MARKS))
+
+    def _stem(self, chunk: str) -> tuple[str, str]:
+        stem = chunk.rstrip(MARKS)
+        if not self.splits or not stem.isalpha():
+            return chunk, ""
+        low = stem.lower()
+        return (low if len(low) == len(stem) and "\u03a3" not in stem else stem), chunk[len(stem) :]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode parts in one call, put together with blanks, and cut the ids at the parts' places."""
+        starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        got = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        ids = np.array(got.ids, dtype=self.kind).tobytes()
+        at = np.array([o[0] for o in got.offsets], dtype=np.int64)
+        cuts = (np.searchsorted(at, starts) * self.width).tolist()
+        self.stems.update(zip(parts, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
         chunks = text.replace("\n", " ").split(" ")
+        memo = self.memo
         try:
-            return b"".join(map(self.memo.__getitem__, chunks)) + self.end
+            return b"".join(map(memo.__getitem__, chunks)) + self.end
         except KeyError:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-        new = list(set(chunks).difference(self.memo))
-        kind = f"<u{self.width}"
-        for chunk, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.memo[chunk] = np.array(got.ids, dtype=kind).tobytes()
-        return b"".join(map(self.memo.__getitem__, chunks)) + self.end
+            pass
+        new = {c: self._stem(c) for c in set(chunks).difference(memo)}
+        parts = list({p for pair in new.values() for p in pair if p}.difference(self.stems))
+        if parts:
+            self._learn(parts)
+        stems = self.stems
+        stems[""] = b""
+        memo.update((c, stems[a] + stems[b]) for c, (a, b) in new.items())
+        out = b"".join(map(memo.__getitem__, chunks)) + self.end
+        for name in ("memo", "stems"):  # what came first is what comes often
+            if len(kept := getattr(self, name)) > MEMO:
+                setattr(self, name, dict(itertools.islice(kept.items(), MEMO // 2)))
+        return out
+
+
+@functools.lru_cache(1)
+def encoder(tokenizer_path: str, end_id: int | None) -> Encoder:
+    """The worker's own encoder: it outlives a task."""
+    return Encoder(tokenizer_path, end_id)
 
 
 def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, file_bytes: int = 16 << 20) -> DataFrame:
@@ -175,7 +215,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, *, id_
     placed = placed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), F.xxhash64("body"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path, end_id)
+        encode = encoder(tokenizer_path, end_id)
         part, names, runs = None, [], []
 
         def flush() -> pa.RecordBatch:
