@@ -147,3 +147,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelweft.llm.interpolated_lm import train_and_score
 
     return train_and_score(table(spark, sf_dir, "documents"), workspace(spark, "op6")).scores
+
+
+@query("op10_gumbel_pieces")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pixelweft.llm.gumbel_pieces import encode_samples
+
+    return encode_samples(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=3, with_ids=False).drop("ids")
