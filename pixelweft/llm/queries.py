@@ -156,3 +156,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelweft.llm.gumbel_pieces import encode_samples
 
     return encode_samples(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=3, with_ids=False).drop("ids")
+
+
+@query("op9_chosen_path_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelweft.llm.chosen_path import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), workspace(spark, "op9"))
