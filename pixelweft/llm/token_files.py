@@ -37,7 +37,7 @@ HEAD = struct.Struct("<8sIQQQqQQ")
 EF_HEAD = struct.Struct("<QQBQQQ")
 SAMPLE = 256
 #: Distinct chunks whose ids a worker keeps at once; half go beyond it.
-MEMO = 400_000
+MEMO = 600_000
 #: Marks that may follow a chunk's letters.
 MARKS = ".,!?"
 
