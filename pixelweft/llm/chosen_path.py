@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from pixelweft.llm.common import LOWER_ASCII
 from pixelweft.llm.components import components
-from pixelweft.runtime import materialize, workspace
+from pixelweft.runtime import discard, materialize, workspace
 
 COORDS = 128
 #: Children of a node: 1, or 2 with this chance. 1 / (1 + MORE) is the least similarity at which paths keep up their number.
@@ -353,6 +353,7 @@ def classify(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col:
     reps = has.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th")).alias("row"), F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = materialize(reps, f"{out_dir}/representatives")
     links = materialize(candidate_links(reps, f"{out_dir}/paths", threshold=threshold, recall=recall, depth=depth, bucket=bucket), f"{out_dir}/candidates")
+    discard(docs.sparkSession, f"{out_dir}/paths")
     groups = components(links, f"{out_dir}/groups")
     # The groups' texts: one row for each set, found by its first document and that one's text hash.
     members = groups.join(reps.select("key", "copies", "row"), "key").select("root", "key", "copies", "row.id", "row.th")

@@ -140,7 +140,7 @@ class Measurer:
 
 
 def measure(docs: DataFrame, model_path: str, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns of ``docs`` and pw_stats: the base counts, the fertility measures and the band's group."""
+    """All columns of ``docs`` and pw_stats (names that begin with pw_ are reserved): the base counts, the fertility measures and the band's group."""
     own = docs.withColumn("pw_text", F.col(text_col).cast("string")).withColumn("pw_lang", F.col(lang_col).cast("string"))
     fields = f"{BASE}, n_tokens long, {STATS}, band_group string"
 
@@ -209,10 +209,19 @@ def in_bands(learned: dict[str, dict[tuple[str, str], float]], bands: Bands = Ba
     return (F.col(f"{s}.n_tokens") < bands.min_tokens) | ok
 
 
-def judge(docs: DataFrame, model_path: str, out_dir: str, *, bands: Bands = Bands(), keep_text: bool = True, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns of ``docs`` (without the text if ``keep_text`` is off), pw_stats, base_failed and kept.
-    The measured rows are written once to ``out_dir``: learning and judging read the same table."""
-    measured = measure(docs, model_path, text_col=text_col, lang_col=lang_col)
-    measured = materialize(measured if keep_text else measured.drop(text_col), f"{out_dir}/measured")
+def judge(docs: DataFrame, model_path: str, out_dir: str, *, bands: Bands = Bands(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """All columns of ``docs`` but the text, pw_stats, pw_base_failed and pw_kept. The measures are written once to
+    ``out_dir``: learning and judging read the same table."""
+    measured = materialize(measure(docs, model_path, text_col=text_col, lang_col=lang_col).drop(text_col), f"{out_dir}/measured")
     learned = learn_bands(measured, bands)
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & in_bands(learned, bands))
+    return measured.withColumn("pw_base_failed", base_failed()).withColumn("pw_kept", ~F.col("pw_base_failed") & in_bands(learned, bands))
+
+
+def keep_good(docs: DataFrame, model_path: str, out_dir: str, *, bands: Bands = Bands(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep. The verdict depends on text and language only, so rejected pairs of text hash
+    and language are taken out by an anti-join, whose hot partitions Spark can split."""
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    key = {"pw_th": F.xxhash64(text), "pw_la": F.coalesce(F.concat(F.lit("l"), lang), F.lit("n"))}
+    own = docs.select(text.alias("pw_body"), lang.alias("pw_lang_in"), *[v.alias(k) for k, v in key.items()])
+    bad = judge(own, model_path, out_dir, bands=bands, text_col="pw_body", lang_col="pw_lang_in").filter(~F.col("pw_kept")).select(*key).distinct()
+    return docs.withColumns(key).join(bad, list(key), "left_anti").drop(*key)

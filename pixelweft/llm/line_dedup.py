@@ -55,9 +55,10 @@ def boilerplate(pages: DataFrame, *, host_col: str, text_col: str, max_ratio: fl
     return counts.join(totals, "pw_host").withColumn("ratio", ratio).filter(F.col("ratio") > max_ratio).drop("pw_pages")
 
 
-def drop_boilerplate(pages: DataFrame, out_dir: str, *, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, out_dir: str, *, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 5, keep_whole: bool = False) -> DataFrame:
     """All columns, the text without its host's boilerplate lines, and pw_lines and pw_dropped: lines with
-    content before, and those dropped."""
+    content before, and those dropped. With ``keep_whole``, a page of which no line with content would be left stays
+    as it is: furniture of a site doesn't make up a whole page, but the lines of a page with many copies may all be frequent."""
     found = boilerplate(pages, host_col=host_col, text_col=text_col, max_ratio=max_ratio, min_pages=min_pages)
     found = materialize(found, f"{out_dir}/boilerplate")
     lists = found.groupBy("pw_host").agg(F.collect_list(F.struct("a", "b")).alias("pw_bad"))
@@ -67,6 +68,8 @@ def drop_boilerplate(pages: DataFrame, out_dir: str, *, host_col: str = "source"
     text = F.col(text_col).cast("string")
     left = F.when(F.col("pw_bad").isNull(), lines_of(text)).otherwise(F.filter(lines_of(text), lambda x: ~(has_content(x) & F.array_contains(F.col("pw_bad"), line_key(x)))))
     marked = marked.withColumn("pw_left", left)
+    if keep_whole:
+        marked = marked.withColumn("pw_left", F.when(F.exists("pw_left", has_content), F.col("pw_left")).otherwise(lines_of(text)))
     n = F.coalesce(F.size(F.filter(lines_of(text), has_content)), F.lit(0)).cast("long")
     marked = marked.withColumn("pw_lines", F.when(text.isNull(), F.lit(0).cast("long")).otherwise(n))
     marked = marked.withColumn("pw_dropped", F.when(text.isNull(), F.lit(0).cast("long")).otherwise((F.size(lines_of(text)) - F.size("pw_left")).cast("long")))

@@ -21,8 +21,6 @@ benchmark finds nothing. Other columns are ignored.
 
 from __future__ import annotations
 
-import functools
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweft.llm.common import LOWER_ASCII
@@ -39,7 +37,7 @@ from pixelweft.runtime import materialize
 #: A word, over UTF-8 bytes after lower-casing A-Z: the bytes outside these ASCII ranges.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-SEGMENTS = "doc_ids binary, starts binary, terms binary, offsets binary, postings binary, n_words binary, n_null long"
+SEGMENTS = "doc_ids binary, hashes binary, starts binary, terms binary, offsets binary, postings binary, n_words binary, n_null long"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -94,17 +92,12 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), dtype=kind)
 
 
-@functools.lru_cache(2)
-def _term_numbers(handle) -> dict[bytes, int]:
-    return handle.value
-
-
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int], path: str, *, id_col: str = "doc_id", text_col: str = "text", gap: int = 64, segment_words: int = 500_000) -> DataFrame:
     """Write the segments' postings and return them as a table, one row for each segment."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(vocabulary)
 
-    def segment(ids: list, counts: list[int], found: list[np.ndarray]) -> dict:
+    def segment(ids: list, hashes: list[int], counts: list[int], found: list[np.ndarray]) -> dict:
         starts = np.cumsum([0, *(n + gap for n in counts)])[:-1]
         flat = np.concatenate(found) if found else np.empty(0, np.int32)
         where = np.repeat(starts, counts) + np.arange(len(flat)) - np.repeat(np.cumsum([0, *counts])[:-1], counts)
@@ -115,30 +108,32 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], path: str, *, id_
         terms, offsets = np.unique(flat, return_index=True)
         delta = np.diff(where, prepend=np.uint32(0))  # wraps at each list's first posting, and unwraps by summing
         none = np.array([i is None for i in ids])
-        return {"doc_ids": _pack(np.array([i or 0 for i in ids], "<i8")) + none.tobytes(), "starts": _pack(starts.astype("<i8")), "terms": _pack(terms.astype("<i4")), "offsets": _pack(np.append(offsets, len(flat)).astype("<i8")), "postings": _pack(delta), "n_words": _pack(np.array(counts, "<i8")), "n_null": len(ids)}
+        return {"doc_ids": _pack(np.array([i or 0 for i in ids], "<i8")) + none.tobytes(), "hashes": np.array(hashes, "<i8").tobytes(), "starts": _pack(starts.astype("<i8")), "terms": _pack(terms.astype("<i4")), "offsets": _pack(np.append(offsets, len(flat)).astype("<i8")), "postings": _pack(delta), "n_words": _pack(np.array(counts, "<i8")), "n_null": len(ids)}
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = known.value.get
-        ids, counts, found, total = [], [], [], 0
+        ids, hashes, counts, found, total = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            row = segment(ids, counts, found)
+            row = segment(ids, hashes, counts, found)
             return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64() if k == "n_null" else pa.binary()) for k, v in row.items()})
 
         for batch in batches:
-            for i, text in zip(batch["id"].to_pylist(), batch["body"], strict=True):
+            for i, th, text in zip(batch["id"].to_pylist(), batch["th"].to_pylist(), batch["body"], strict=True):
                 w = words(text.as_py())
                 ids.append(i)
+                hashes.append(th)
                 counts.append(len(w))
                 found.append(np.fromiter((number(x, -1) for x in w), dtype=np.int32, count=len(w)))
                 total += len(w)
                 if total >= segment_words:
                     yield flush()
-                    ids, counts, found, total = [], [], [], 0
+                    ids, hashes, counts, found, total = [], [], [], [], 0
         if ids:
             yield flush()
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("body"))
     return materialize(own.mapInArrow(build, SEGMENTS), path)
 
 
@@ -211,7 +206,7 @@ class Segment:
 
 
 def search(index: DataFrame, blocks: list[Block], names: dict[int, object], *, slop: int | None = None) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside an exact occurrence), items (sorted as strings), and
+    """Per document: doc_id, text_hash (xxhash64 of the text), n_words, n_hit (words inside an exact occurrence), items (sorted as strings), and
     near_items: items with a phrase all of whose terms are within ``slop`` words of its rarest one (null without ``slop``)."""
     spark = index.sparkSession
     held = [spark.sparkContext.broadcast(b) for b in blocks]
@@ -240,9 +235,9 @@ def search(index: DataFrame, blocks: list[Block], names: dict[int, object], *, s
                 hit = np.append(0, np.cumsum(np.cumsum(cover) > 0))
                 n_hit = hit[s.starts + s.n_words] - hit[s.starts]
                 listed = lambda sets: pa.array([sorted(text[i] for i in x) for x in sets], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids, pa.int64(), mask=s.no_id), "n_words": pa.array(s.n_words), "n_hit": pa.array(n_hit.astype(np.int64)), "items": listed(items), "near_items": listed(near) if slop is not None else pa.nulls(len(near), pa.list_(pa.string()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids, pa.int64(), mask=s.no_id), "text_hash": pa.array(np.frombuffer(row["hashes"], "<i8")), "n_words": pa.array(s.n_words), "n_hit": pa.array(n_hit.astype(np.int64)), "items": listed(items), "near_items": listed(near) if slop is not None else pa.nulls(len(near), pa.list_(pa.string()))})
 
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>")
+    return index.mapInArrow(run, "doc_id long, text_hash long, n_words long, n_hit long, items array<string>, near_items array<string>")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int | None = None, block_phrases: int = 50_000) -> DataFrame:
@@ -252,5 +247,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, out_dir: str, *, id_col: st
     return search(index, blocks, names, slop=slop)
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def drop_contaminated(docs: DataFrame, items: DataFrame, out_dir: str, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no phrase of the benchmark. A text is known again by its hash."""
+    found = decontaminate(docs, items, out_dir, text_col=text_col, **options)
+    bad = found.filter("n_hit > 0").select(F.col("text_hash").alias("pw_th")).distinct()
+    return docs.withColumn("pw_th", F.xxhash64(F.col(text_col).cast("string"))).join(bad, "pw_th", "left_anti").drop("pw_th")

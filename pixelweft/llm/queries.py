@@ -66,13 +66,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_fertility_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
+    from pyspark.sql import functions as F
 
     from pixelweft.llm.fertility import judge
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    done = judge(docs, public_tokenizers.path("piece_bpe_32k.model"), workspace(spark, "op7"), keep_text=False)
+    done = judge(docs, public_tokenizers.path("piece_bpe_32k.model"), workspace(spark, "op7"))
     base = [f"pw_stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return done.select("doc_id", *base, "base_failed", "kept", *[f"pw_stats.{c}" for c in ("n_tokens", "chars_per_token", "byte_share", "entropy_share")])
+    return done.select("doc_id", *base, F.col("pw_base_failed").alias("base_failed"), F.col("pw_kept").alias("kept"), *[f"pw_stats.{c}" for c in ("n_tokens", "chars_per_token", "byte_share", "entropy_share")])
 
 
 @query(
