@@ -1,4 +1,6 @@
-"""Named queries of the core library; filled by the modules beside this one."""
+"""Named queries of the core library."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from pixelweft.plans import color_queries  # noqa: F401
+from pixelweft.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
