@@ -224,4 +224,5 @@ def keep_good(docs: DataFrame, model_path: str, out_dir: str, *, bands: Bands =
     key = {"pw_th": F.xxhash64(text), "pw_la": F.coalesce(F.concat(F.lit("l"), lang), F.lit("n"))}
     own = docs.select(text.alias("pw_body"), lang.alias("pw_lang_in"), *[v.alias(k) for k, v in key.items()])
     bad = judge(own, model_path, out_dir, bands=bands, text_col="pw_body", lang_col="pw_lang_in").filter(~F.col("pw_kept")).select(*key).distinct()
+    bad = materialize(bad, f"{out_dir}/rejected")
     return docs.withColumns(key).join(bad, list(key), "left_anti").drop(*key)

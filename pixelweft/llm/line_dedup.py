@@ -9,7 +9,8 @@ A line's key is two 64-bit hashes, so the shuffles carry 16 bytes and a host for
 before it is sent; a hot host spreads over its lines. A host's boilerplate list is bounded: its lines all
 have a ratio above ``max_ratio``, so there are fewer than (lines a page) / ``max_ratio`` of them. The list
 is joined to the pages by host: by broadcast where its counted rows prove it small, else by an
-equi-join whose hot partitions Spark splits.
+equi-join whose hot partitions Spark splits. Tables by host are written before they are joined, as Spark splits only
+partitions that were shuffled for the join alone.
 
 Null hosts form one host of their own; null texts stay null and have no lines; an empty text stays
 empty. Repeated rows count as pages each. Names that begin with ``pw_`` are reserved, other columns are
@@ -45,10 +46,10 @@ def host_key(host: Column) -> Column:
     return F.coalesce(F.concat(F.lit("host:"), host.cast("string")), F.lit("none"))
 
 
-def boilerplate(pages: DataFrame, *, host_col: str, text_col: str, max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def boilerplate(pages: DataFrame, out_dir: str, *, host_col: str, text_col: str, max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """pw_host, a, b (the line's key), n_pages and ratio of each boilerplate line."""
     own = pages.select(host_key(F.col(host_col)).alias("pw_host"), F.col(text_col).cast("string").alias("pw_text"))
-    totals = own.groupBy("pw_host").agg(F.count("*").alias("pw_pages"))
+    totals = materialize(own.groupBy("pw_host").agg(F.count("*").alias("pw_pages")), f"{out_dir}/hosts")
     keys = F.array_distinct(F.transform(F.filter(lines_of(F.col("pw_text")), has_content), line_key))
     counts = own.select("pw_host", F.explode(keys).alias("k")).groupBy("pw_host", "k.a", "k.b").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= min_pages)
     ratio = F.col("n_pages") / F.col("pw_pages")
@@ -59,9 +60,9 @@ def drop_boilerplate(pages: DataFrame, out_dir: str, *, host_col: str = "source"
     """All columns, the text without its host's boilerplate lines, and pw_lines and pw_dropped: lines with
     content before, and those dropped. With ``keep_whole``, a page of which no line with content would be left stays
     as it is: furniture of a site doesn't make up a whole page, but the lines of a page with many copies may all be frequent."""
-    found = boilerplate(pages, host_col=host_col, text_col=text_col, max_ratio=max_ratio, min_pages=min_pages)
+    found = boilerplate(pages, out_dir, host_col=host_col, text_col=text_col, max_ratio=max_ratio, min_pages=min_pages)
     found = materialize(found, f"{out_dir}/boilerplate")
-    lists = found.groupBy("pw_host").agg(F.collect_list(F.struct("a", "b")).alias("pw_bad"))
+    lists = materialize(found.groupBy("pw_host").agg(F.collect_list(F.struct("a", "b")).alias("pw_bad")), f"{out_dir}/lists")
     if found.count() <= BROADCAST_LINES:
         lists = F.broadcast(lists)
     marked = pages.withColumn("pw_host", host_key(F.col(host_col))).join(lists, "pw_host", "left").drop("pw_host")

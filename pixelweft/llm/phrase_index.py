@@ -250,5 +250,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, out_dir: str, *, id_col: st
 def drop_contaminated(docs: DataFrame, items: DataFrame, out_dir: str, *, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no phrase of the benchmark. A text is known again by its hash."""
     found = decontaminate(docs, items, out_dir, text_col=text_col, **options)
-    bad = found.filter("n_hit > 0").select(F.col("text_hash").alias("pw_th")).distinct()
+    bad = materialize(found.filter("n_hit > 0").select(F.col("text_hash").alias("pw_th")).distinct(), f"{out_dir}/contaminated")
     return docs.withColumn("pw_th", F.xxhash64(F.col(text_col).cast("string"))).join(bad, "pw_th", "left_anti").drop("pw_th")

@@ -142,12 +142,12 @@ def write_bundles(pages: DataFrame, out_dir: str, *, id_col: str = "page_id", ur
     """Write every row as a record; returns the record index (file, page_id, frame, frame_offset, offset, length).
 
     Payloads meet by digest: counts and smallest ids are aggregated before their shuffle, and the join
-    that brings them to the pages is a plain equi-join, whose large partitions Spark can split. Rows
+    that brings them to the pages is an equi-join with a written table, whose large partitions Spark can split. Rows
     are sorted in each task, so that a repeated task writes the same files again.
     """
     body = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("uri"), body.alias("body"), F.sha1(F.encode(body, "UTF-8")).alias("digest"))
-    origin = rows.groupBy("digest").agg(F.min("id").alias("origin"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    origin = materialize(rows.groupBy("digest").agg(F.min("id").alias("origin"), F.count("*").alias("n")).filter("n > 1").drop("n"), f"{out_dir}/origins")
     rows = rows.join(origin, "digest", "left").sortWithinPartitions("id", "digest", "uri")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
