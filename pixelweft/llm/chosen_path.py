@@ -181,7 +181,7 @@ def _descend(rows: DataFrame, first: np.ndarray | None, levels: int) -> DataFram
 
 
 def _in_blocks(rows: DataFrame, group: str, sizes: DataFrame, block: int) -> DataFrame:
-    """Rows with (bi, bj): a group larger than ``block`` is parted by key, and each pair of its blocks is a task's work. Others have (0, 0)."""
+    """``sizes`` is a written table, so that Spark can split a large group's rows in the join. Rows with (bi, bj): a group larger than ``block`` is parted by key, and each pair of its blocks is a task's work. Others have (0, 0)."""
     parts = sizes.select(group, F.ceil(F.col("pw_n") / block).cast("int").alias("pw_parts"))
     mine = F.pmod(F.xxhash64("key", F.lit(7)), F.col("pw_parts")).cast("int")
     rows = rows.join(parts, group).withColumn("own", mine)
@@ -273,7 +273,7 @@ def candidate_links(reps: DataFrame, path: str, *, threshold: float, recall: flo
     front = materialize(_descend(reps.select("key", "sketch"), _roots(runs), 2), f"{path}/level-2")
     small, level = [], 2
     while True:
-        sizes = front.groupBy("node").agg(F.count("*").alias("pw_n")).filter("pw_n > 1")
+        sizes = materialize(front.groupBy("node").agg(F.count("*").alias("pw_n")).filter("pw_n > 1"), f"{path}/sizes-{level}")
         last = level >= depth
         ready = sizes if last else sizes.filter(F.col("pw_n") <= bucket)
         small.append(_in_blocks(front.select("node", "key"), "node", ready, bucket))
@@ -360,7 +360,8 @@ def classify(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col:
     text = F.col(text_col).cast("string")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("body"))
     tokens = _tokens(texts.join(members, ["id", "th"]).select("root", "key", "copies", "body"), shingle)
-    exact = _exact_links(_in_blocks(tokens, "root", groups.groupBy("root").agg(F.count("*").alias("pw_n")), block), threshold)
+    sizes = materialize(groups.groupBy("root").agg(F.count("*").alias("pw_n")), f"{out_dir}/sizes")
+    exact = _exact_links(_in_blocks(tokens, "root", sizes, block), threshold)
     exact = materialize(exact, f"{out_dir}/links")
     linked = components(exact.filter("n_links > 0").select(F.col("key").alias("a"), F.col("root").alias("b")), f"{out_dir}/classes")
     counts = exact.groupBy("key").agg(F.sum("n_links").alias("n_links"))
@@ -368,7 +369,7 @@ def classify(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col:
     sets = materialize(sets.select("key", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("root", "key").alias("root"), "least_id", "row"), f"{out_dir}/sets")
     # The document that stands for a class: the smallest id that isn't null, if any.
     known = F.struct((F.col("row.id") == NO_ID).alias("none"), F.col("row.id").alias("id"), F.col("row.th").alias("th"))
-    heads = sets.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min(known).alias("head"))
+    heads = materialize(sets.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min(known).alias("head")), f"{out_dir}/heads")
     done = sets.select("key", "n_links", "root").join(heads, "root").select("key", "n_links", "class_id", F.col("head.id").alias("rep_id"), F.col("head.th").alias("rep_th"))
     known_id = F.when(F.col("id") != NO_ID, F.col("id"))
     rows = sigs.select("id", "th", "key").join(done, "key", "left")
@@ -385,7 +386,7 @@ def keep_one(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col:
     """The rows of ``docs`` without all but one of each class; rows without words all stay."""
     done = classify(docs, out_dir, id_col=id_col, text_col=text_col, **options)
     stays = materialize(done.filter("key IS NOT NULL").select(F.col("rep_id").alias("pw_id"), F.col("rep_th").alias("pw_th")).distinct(), f"{out_dir}/stays")
-    wordless = done.filter("key IS NULL").select(F.col("id").alias("pw_id"), F.col("th").alias("pw_th")).distinct()
+    wordless = materialize(done.filter("key IS NULL").select(F.col("id").alias("pw_id"), F.col("th").alias("pw_th")).distinct(), f"{out_dir}/wordless")
     text = F.col(text_col).cast("string")
     rows = docs.withColumn("pw_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("pw_th", F.xxhash64(text))
     kept = rows.join(stays, ["pw_id", "pw_th"], "left_semi").dropDuplicates(["pw_id", "pw_th"])

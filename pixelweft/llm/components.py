@@ -17,22 +17,23 @@ def components(edges: DataFrame, path: str) -> DataFrame:
 
     Each round joins every key to its smallest neighbour, first for larger neighbours, then for smaller ones; the
     number of rounds grows with the logarithm of the largest component. Each round is a written table, the one before it
-    is removed, and the driver sees a count and a checksum only. Edges of hot keys are plain join rows, which
-    Spark can split.
+    is removed, and the driver sees a count and a checksum only. Smallest neighbours are written before they are
+    joined: so both sides of a join are shuffled for it alone, and Spark can split a hot key's edges.
     """
     spark = edges.sparkSession
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{path}/round-0")
     mark, k = _mark(now), 0
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        k += 1
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"{path}/least-{k}")
+        large = materialize(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{path}/large-{k}")
+        small_least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"{path}/small-{k}")
         small = large.join(small_least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.withColumnRenamed("m", "v")).distinct()
-        k += 1
         after = materialize(small, f"{path}/round-{k}")
-        discard(spark, f"{path}/round-{k - 1}")
+        for old in (f"round-{k - 1}", f"least-{k}", f"large-{k}", f"small-{k}"):
+            discard(spark, f"{path}/{old}")
         now, last, mark = after, mark, _mark(after)
         if mark == last:
             break
