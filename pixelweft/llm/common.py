@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelweft.sources.files import open_output as open_output  # noqa: PLC0414
+
 #: Byte table that lower-cases A-Z and nothing else.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -42,20 +41,3 @@ def range_bucket(key: str, bounds: list[int]) -> Column:
         return F.when(F.col(key) >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
     return tree(0, len(bounds)).cast("int")
-
-
-def open_output(uri: str):
-    """A binary output stream on the shared folder. Returns the stream and a function that, after
-    closing, moves the file to its final name, so that a retried task never leaves half a file."""
-    from pyarrow import fs
-
-    where, path = fs.FileSystem.from_uri(uri)
-    where.create_dir(posixpath.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.tmp"
-    stream = where.open_output_stream(part)
-
-    def commit() -> None:
-        stream.close()
-        where.move(part, path)
-
-    return stream, commit
