@@ -71,8 +71,8 @@ RULES = (
     ("MPL-2.0", ("mpl-form", "mpl-copy")),
     ("all-rights-reserved", ("reserved",)),
 )
-#: Every known sentence holds one of these, in lower case: texts without any are not cut up.
-MARKS = ("licen", "permi", "warrant", "redistribut", "rights reserved", "free software", "mpl")
+#: Every known sentence holds one of these inside a word, in lower case: texts without any are not cut up.
+MARKS = ("licen", "permi", "warrant", "redistribut", "reserved", "software", "mpl")
 
 SENTENCE_END, OTHER = r"([.!?:;])[ \t\r\n]+", "[^a-z0-9]+"
 
