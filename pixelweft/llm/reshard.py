@@ -8,7 +8,8 @@ shard consists of untouched old files, if any, and of the files written for it.
 
 Only sizes of shards, blocks and cuts reach the driver, never rows. Nulls: a null text has size 1 and
 the crc of no bytes; null ids sort first; a null shard key is a shard of its own, sorted first. Rows that
-repeat both id and text are never cut apart. An empty table gives no rows.
+repeat both id and text are never cut apart. A column ``shard`` of the input is replaced; names that begin with pw_ are
+reserved. An empty table gives no rows.
 """
 
 from __future__ import annotations

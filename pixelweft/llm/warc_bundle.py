@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweft.llm.common import open_output
-from pixelweft.runtime import materialize
+from pixelweft.runtime import make_folder, materialize
 
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX_ROW = struct.Struct("<qIII")
@@ -145,6 +145,7 @@ def write_bundles(pages: DataFrame, out_dir: str, *, id_col: str = "page_id", ur
     that brings them to the pages is an equi-join with a written table, whose large partitions Spark can split. Rows
     are sorted in each task, so that a repeated task writes the same files again.
     """
+    make_folder(pages.sparkSession, f"{out_dir}/warc")
     body = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("uri"), body.alias("body"), F.sha1(F.encode(body, "UTF-8")).alias("digest"))
     origin = materialize(rows.groupBy("digest").agg(F.min("id").alias("origin"), F.count("*").alias("n")).filter("n > 1").drop("n"), f"{out_dir}/origins")
