@@ -41,6 +41,12 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Create a folder, so that a reader finds it even if no file is written."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
