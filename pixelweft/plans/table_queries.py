@@ -94,6 +94,23 @@ def o03(spark, sf_dir):
     return images.read_masks(spark, out)
 
 
+@query("o01_image_source", f"WITH {PX}, pal AS ({_palette_sql()}) SELECT img, y, x, pal.r, pal.g, pal.b FROM px JOIN pal ON pal.index = px.r")
+def o01(spark, sf_dir):
+    """Write palette PNGs of the red levels, and read them as images: each pixel gets its index's colour."""
+    out = workspace(spark, "o01")
+    table_of = [(r.r, r.g, r.b) for r in colors.palette(spark).orderBy("index").collect()]
+    images.write_masks(pixels(spark, sf_dir), out, table_of, value="r").count()
+    return images.read_images(spark, out).select(F.regexp_extract("path", r"(\d+)_index", 1).cast("long").alias("img"), "y", "x", "r", "g", "b")
+
+
+@query("o06_scribble_export", f"WITH {PX} SELECT img || '_index.png' AS file, y, x, ann + 1 AS label FROM px")
+def o06(spark, sf_dir):
+    """Annotations as palette PNGs, each index one higher than its class."""
+    out = workspace(spark, "o06")
+    images.write_masks(pixels(spark, sf_dir, extra=True), out, [], value="ann", shift=1).count()
+    return images.read_masks(spark, out)
+
+
 @query("o02_annotation_files", f"WITH {PX} SELECT img, y, x, ann FROM px")
 def o02(spark, sf_dir):
     """Write annotations as .npy, and read them back."""
