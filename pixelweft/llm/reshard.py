@@ -85,6 +85,29 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[in
     return {ij: room[e ^ 1] for ij, e in first.items() if room[e ^ 1]}
 
 
+def cheapest_transfers(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
+    """``min_cost_flow`` with all old shards of equal prices as one node, whose flow is then dealt to them in order.
+    That is as cheap, and the network stays small however many files there are beyond the new shards."""
+    alike: dict[tuple[int, ...], list[int]] = {}
+    for i in range(len(supply)):
+        alike.setdefault(tuple(cost(i, j) for j in range(len(capacity))), []).append(i)
+    prices, members = list(alike), list(alike.values())
+    merged = min_cost_flow([sum(supply[i] for i in m) for m in members], capacity, lambda a, j: prices[a][j])
+    out: dict[tuple[int, int], int] = {}
+    for a, m in enumerate(members):
+        left = [[j, v] for (b, j), v in sorted(merged.items()) if b == a]
+        for i in m:
+            need = supply[i]
+            while need and left:
+                take = min(need, left[0][1])
+                out[i, left[0][0]] = out.get((i, left[0][0]), 0) + take
+                need -= take
+                left[0][1] -= take
+                if not left[0][1]:
+                    left.pop(0)
+    return out
+
+
 @dataclass
 class Resharded:
     """What a resharding did: rows (all columns and ``shard``), the flow, and the shards whose files
@@ -126,17 +149,20 @@ def reshard(docs: DataFrame, out_dir: str, new_shards: int, *, shard_col: str, i
     supply = [r.bytes for r in sizes]
     total = sum(supply)
     capacity = [total // new_shards + (j < total % new_shards) for j in range(new_shards)]
-    flow = min_cost_flow(supply, capacity, cost or (lambda i, j: int(i != j)))
+    flow = cheapest_transfers(supply, capacity, cost or (lambda i, j: int(i != j)))
     rank = spark.createDataFrame([(r.pw_key, i) for i, r in enumerate(sizes)], f"pw_name {docs.schema[shard_col].dataType.simpleString()}, pw_old int")
 
     # Where each stay or transfer ends in its old shard, in bytes; a shard's own part comes first.
     ends = []
-    for i in range(len(supply)):
+    targets: dict[int, list[int]] = {}
+    for i, j in flow:
+        targets.setdefault(i, []).append(j)
+    for i, js in sorted(targets.items()):
         at = 0
-        for j in sorted((j for a, j in flow if a == i), key=lambda j: (j != i, j)):
+        for j in sorted(js, key=lambda j: (j != i, j)):
             at += flow[i, j]
             ends.append((i, at, j))
-    split = {i for i, _ in flow if sum(a == i for a, _ in flow) > 1}
+    split = {i for i, js in targets.items() if len(js) > 1}
     cuts = spark.createDataFrame(ends, "pw_old int, pw_end long, pw_to int").groupBy("pw_old").agg(F.array_sort(F.collect_list(F.struct("pw_end", "pw_to"))).alias("pw_ends"))
     first = lambda arr, test: F.get(F.filter(arr, test), F.lit(0))
     # A row belongs to the part that its middle byte falls in. The cut is the first key beyond it.
