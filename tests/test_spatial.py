@@ -158,12 +158,12 @@ def test_palette(spark):
 
 
 def patch():
-    """A bright square on a dark ground; half of the square is foreground scribble."""
-    image = np.zeros((12, 12, 3))
-    image[4:8, 4:8] = 200
+    """A bright square on a dark ground; most of the square is foreground scribble."""
+    image = np.zeros((24, 24, 3))
+    image[6:18, 6:18] = 200
     image += np.random.default_rng(0).normal(0, 3, image.shape)
-    mask = np.full((12, 12), seeds.MAYBE_BACKGROUND)
-    mask[1, 1:11], mask[4:6, 4:8] = seeds.BACKGROUND, seeds.FOREGROUND
+    mask = np.full((24, 24), seeds.MAYBE_BACKGROUND)
+    mask[1:4, 1:23], mask[6:15, 6:18] = seeds.BACKGROUND, seeds.FOREGROUND
     return image, mask
 
 
@@ -172,7 +172,7 @@ def test_graph_cut_finds_the_square():
     out, bg, fg = grabcut.segment(image, mask)
     front = np.isin(out, (seeds.FOREGROUND, seeds.MAYBE_FOREGROUND))
     assert (out[mask == seeds.BACKGROUND] == seeds.BACKGROUND).all() and (out[mask == seeds.FOREGROUND] == seeds.FOREGROUND).all()
-    assert front[4:8, 4:8].all() and front.sum() == 16
+    assert front[6:18, 6:18].all() and front.sum() == 144
     assert (grabcut.segment(image, mask)[0] == out).all()
     assert len(bg.flat()) == 65 and np.allclose(grabcut.Mixture.of(fg.flat()).cov, fg.cov)
 
