@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweft.llm.common import LOWER_ASCII
+from pixelweft.llm.common import LOWER_ASCII, worker_memo
 from pixelweft.llm.components import components
 from pixelweft.runtime import discard, materialize, workspace
 
@@ -64,17 +64,12 @@ class _Words(dict):
         return h
 
 
-@functools.lru_cache(1)
-def _words() -> _Words:
-    return _Words()
-
-
 def shingles(text: str | None, size: int) -> np.ndarray:
     """The text's set of hashed word runs, sorted."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words().__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(worker_memo(("shingles",), _Words).__getitem__, words), dtype=np.uint64, count=len(words))
     size = min(size, len(h))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - size + 1, size, dtype=np.uint64)

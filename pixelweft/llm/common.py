@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweft.sources.files import open_output as open_output  # noqa: PLC0414
 
+T = TypeVar("T")
 #: Byte table that lower-cases A-Z and nothing else.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+_HELD: dict = {}
+
+
+def worker_memo(key: tuple, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: one thing at a time, so that the memos of operators that ran before
+    don't add up in a worker that goes on to another one."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

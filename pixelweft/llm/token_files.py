@@ -18,7 +18,6 @@ Empty tables give no file and no row.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import struct
 from collections.abc import Iterator
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelweft.llm.common import open_output, range_bounds, range_bucket
+from pixelweft.llm.common import open_output, range_bounds, range_bucket, worker_memo
 from pixelweft.runtime import materialize
 
 MAGIC = b"EFIDS\x001\n"
@@ -195,12 +194,6 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(1)
-def encoder(tokenizer_path: str, end_id: int | None) -> Encoder:
-    """The worker's own encoder: it outlives a task."""
-    return Encoder(tokenizer_path, end_id)
-
-
 def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, file_bytes: int = 16 << 20) -> DataFrame:
     """Encode every document and write the files; returns the manifest (part, file, n_docs, n_ids).
 
@@ -215,7 +208,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, *, id_
     placed = placed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), F.xxhash64("body"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, end_id)
+        encode = worker_memo(("ids", tokenizer_path, end_id), lambda: Encoder(tokenizer_path, end_id))
         part, names, runs = None, [], []
 
         def flush() -> pa.RecordBatch:
