@@ -8,11 +8,12 @@ leading word mark) and measured by
 * byte-fallback share: tokens that stand for single bytes,
 * token entropy in bits, over the text's tokens, as a share of the most that so many tokens can have.
 
-Rejection bands belong to a group: the language, or, where it is null, the script of most letters. A band
-is the group's median over all its texts, plus and minus a floor and ``width`` times the group's spread on that
-side, divided by the root of the text's tokens, as a mean over few tokens strays further. Statistics come from
-histograms of fixed resolution, aggregated on the executors: what the driver gets is bounded by
-groups and bins, and every text counts.
+Rejection bands belong to a group of texts: those of one language (or, where it is null, of one script of most letters) and of one
+length, in octaves of tokens, as both measures depend on it. A band is the group's median, plus and minus a floor and ``width``
+times the distance to the quartile on that side (as standard deviations), so that the junk in a group hardly
+widens its band. Statistics come from histograms of fixed resolution, counted on the executors over every text:
+what the driver gets is bounded by groups and bins. Groups with fewer than ``min_texts`` texts are too small to tell
+what is usual, and reject nothing.
 
 Texts with fewer than ``min_tokens`` tokens are too short to judge: no verdict against them. A text also fails by
 the base rules: under 10 words, or more than a fifth of its words in repeated 5-word windows. Null
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelweft.llm.common import worker_memo
 from pixelweft.runtime import materialize
 
 WINDOW = 5
@@ -39,9 +41,7 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: ASCII white space, as in the byte sets of the base rules; a word is anything else.
 NOT_BLANK = re.compile(r"[^\x20\x09-\x0D]")
 MEMO = 300_000
-BINS = 2_000
-#: Distances from the middle, times the root of the tokens, are told apart up to so many ranges.
-SPREAD = 4.0
+BINS = 10_000
 
 STATS = "chars_per_token double, byte_share double, entropy_share double"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -49,13 +49,13 @@ BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 
 @dataclass(frozen=True)
 class Bands:
-    """How far from its group's middle a text may be: ``floor + width * spread / sqrt(tokens)``.
-    ``top`` are the largest values that histograms tell apart."""
+    """How far from its group's middle a text may be: ``floor + width * spread``. Measures are counted in BINS bins up to ``top``."""
 
-    width: float = 5.0
-    floor: tuple[tuple[str, float], ...] = (("chars_per_token", 0.02), ("byte_share", 0.05), ("entropy_share", 0.2))
+    width: float = 4.0
+    floor: tuple[tuple[str, float], ...] = (("chars_per_token", 0.02), ("byte_share", 0.05), ("entropy_share", 0.02))
     top: tuple[tuple[str, float], ...] = (("chars_per_token", 20.0), ("byte_share", 1.0), ("entropy_share", 1.0))
     min_tokens: int = 40
+    min_texts: int = 30
 
 
 def repeated_words(ids: np.ndarray, size: int = WINDOW) -> int:
@@ -146,7 +146,7 @@ def measure(docs: DataFrame, model_path: str, *, text_col: str = "text", lang_co
 
     @F.arrow_udf(f"struct<{', '.join(f.replace(' ', ':') for f in fields.split(', '))}>")
     def stats(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        run = Measurer(model_path)
+        run = worker_memo(("fertility", model_path), lambda: Measurer(model_path))
         names = [f.split()[0] for f in fields.split(", ")]
         kinds = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.split()[1]] for f in fields.split(", ")]
         for texts, langs in batches:
@@ -160,38 +160,36 @@ def measure(docs: DataFrame, model_path: str, *, text_col: str = "text", lang_co
     return own.withColumn("pw_stats", stats("pw_text", "pw_lang")).drop("pw_text", "pw_lang")
 
 
-def _quantile(hist: np.ndarray, q: float) -> float:
-    """Middle of the bin that holds the q-quantile, as a share of the range."""
-    c = np.cumsum(hist)
-    return (int(np.searchsorted(c, q * c[-1])) + 0.5) / len(hist)
+def _quantile(bins: list[tuple[int, int]], q: float) -> float:
+    """Middle of the bin that holds the q-quantile, as a share of the range; ``bins`` are (bin, texts), ascending."""
+    total, at = sum(n for _, n in bins), 0
+    for b, n in bins:
+        at += n
+        if at >= q * total:
+            break
+    return (b + 0.5) / BINS
 
 
-def _histograms(judged: DataFrame, shares: dict[str, Column]) -> dict[tuple[str, str], np.ndarray]:
-    """Counts in BINS bins by group and measure; ``shares`` are places in a measure's range, 0 to 1."""
-    cells = [F.struct(F.lit(m).alias("m"), F.greatest(F.lit(0), F.least(F.floor(x * BINS), F.lit(BINS - 1))).cast("int").alias("bin")) for m, x in shares.items()]
-    out: dict[tuple[str, str], np.ndarray] = {}
-    for r in judged.select(F.col("pw_stats.band_group").alias("g"), F.explode(F.array(*cells)).alias("c")).groupBy("g", "c.m", "c.bin").agg(F.count("*").alias("n")).collect():
-        out.setdefault((r.g, r.m), np.zeros(BINS))[r.bin] = r.n
-    return out
-
-
-def _lookup(values: dict[tuple[str, str], float], measure: str, s: str) -> Column:
-    pairs = [x for (g, m), v in sorted(values.items()) if m == measure for x in (F.lit(g), F.lit(float(v)))]
-    return F.try_element_at(F.create_map(*pairs), F.col(f"{s}.band_group")) if pairs else F.lit(None).cast("double")
+def _octave(s: str = "pw_stats") -> Column:
+    return F.floor(F.log2(f"{s}.n_tokens")).cast("int")
 
 
-def learn_bands(measured: DataFrame, bands: Bands = Bands()) -> dict[str, dict[tuple[str, str], float]]:
-    """The middle of each group and measure, and its spread downwards and upwards: of a text's distance from
-    the middle times the root of its tokens, the 10th and 90th percentiles as standard deviations."""
+def learn_bands(measured: DataFrame, bands: Bands = Bands()) -> dict[tuple[str, int], dict[str, tuple[float, float]]]:
+    """{(group, octave): {measure: (lowest, highest)}} from every text with enough tokens."""
     judged = measured.filter(F.col("pw_stats.n_tokens") >= bands.min_tokens)
-    tops = dict(bands.top)
-    middle = {gm: _quantile(h, 0.5) * tops[gm[1]] for gm, h in _histograms(judged, {m: F.col(f"pw_stats.{m}") / top for m, top in bands.top}).items()}
-    out = {"middle": middle, "down": {}, "up": {}}
-    if middle:
-        far = {m: ((F.col(f"pw_stats.{m}") - _lookup(middle, m, "pw_stats")) * F.sqrt("pw_stats.n_tokens") / top + SPREAD) / (2 * SPREAD) for m, top in bands.top}
-        for gm, h in _histograms(judged, far).items():
-            for side, q in (("down", 0.1), ("up", 0.9)):
-                out[side][gm] = abs(_quantile(h, q) * 2 - 1) * SPREAD * tops[gm[1]] / 1.2816
+    cells = [F.struct(F.lit(m).alias("m"), F.least(F.floor(F.col(f"pw_stats.{m}") / top * BINS), F.lit(BINS - 1)).cast("int").alias("bin")) for m, top in bands.top]
+    counts = judged.select(F.col("pw_stats.band_group").alias("g"), _octave().alias("o"), F.explode(F.array(*cells)).alias("c")).groupBy("g", "o", "c.m", "c.bin").agg(F.count("*").alias("n"))
+    found: dict[tuple[str, int], dict[str, list[tuple[int, int]]]] = {}
+    for r in counts.toLocalIterator():
+        found.setdefault((r.g, r.o), {}).setdefault(r.m, []).append((r.bin, r.n))
+    floors, tops, out = dict(bands.floor), dict(bands.top), {}
+    for key, measures in found.items():
+        if sum(n for _, n in next(iter(measures.values()))) < bands.min_texts:
+            continue
+        for m, bins in measures.items():
+            low, mid, high = (tops[m] * _quantile(sorted(bins), q) for q in (0.25, 0.5, 0.75))
+            slack = [floors[m] + bands.width * far / 0.6745 for far in (mid - low, high - mid)]
+            out.setdefault(key, {})[m] = (mid - slack[0], mid + slack[1])
     return out
 
 
@@ -199,22 +197,24 @@ def base_failed(s: str = "pw_stats") -> Column:
     return (F.col(f"{s}.n_words") < 10) | (100 * F.col(f"{s}.n_repeat_words") > 20 * F.col(f"{s}.n_words"))
 
 
-def in_bands(learned: dict[str, dict[tuple[str, str], float]], bands: Bands = Bands(), s: str = "pw_stats") -> Column:
-    """True unless the text is long enough and one of its measures is outside its group's band."""
-    ok = F.lit(True)
-    for m, floor in bands.floor:
-        value, middle = F.col(f"{s}.{m}"), _lookup(learned["middle"], m, s)
-        slack = [F.lit(floor) + bands.width * _lookup(learned[side], m, s) / F.sqrt(f"{s}.n_tokens") for side in ("down", "up")]
-        ok = ok & F.coalesce(value.between(middle - slack[0], middle + slack[1]), F.lit(True))
-    return (F.col(f"{s}.n_tokens") < bands.min_tokens) | ok
+def _in_bands(measured: DataFrame, learned: dict[tuple[str, int], dict[str, tuple[float, float]]], bands: Bands) -> DataFrame:
+    """Adds pw_fits: true unless a text is long enough and one of its measures is outside its group's band."""
+    names = [m for m, _ in bands.top]
+    rows = [(g, o, *[x for m in names for x in ms[m]]) for (g, o), ms in sorted(learned.items())]
+    limits = measured.sparkSession.createDataFrame(rows, "pw_g string, pw_o int, " + ", ".join(f"pw_lo_{m} double, pw_hi_{m} double" for m in names))
+    out = measured.withColumns({"pw_g": F.col("pw_stats.band_group"), "pw_o": F.when(F.col("pw_stats.n_tokens") >= bands.min_tokens, _octave())}).join(limits, ["pw_g", "pw_o"], "left")
+    fits = F.lit(True)
+    for m in names:
+        fits = fits & F.coalesce(F.col(f"pw_stats.{m}").between(F.col(f"pw_lo_{m}"), F.col(f"pw_hi_{m}")), F.lit(True))
+    return out.withColumn("pw_fits", fits).drop("pw_g", "pw_o", *[f"pw_{e}_{m}" for m in names for e in ("lo", "hi")])
 
 
 def judge(docs: DataFrame, model_path: str, out_dir: str, *, bands: Bands = Bands(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """All columns of ``docs`` but the text, pw_stats, pw_base_failed and pw_kept. The measures are written once to
     ``out_dir``: learning and judging read the same table."""
     measured = materialize(measure(docs, model_path, text_col=text_col, lang_col=lang_col).drop(text_col), f"{out_dir}/measured")
-    learned = learn_bands(measured, bands)
-    return measured.withColumn("pw_base_failed", base_failed()).withColumn("pw_kept", ~F.col("pw_base_failed") & in_bands(learned, bands))
+    fitted = _in_bands(measured, learn_bands(measured, bands), bands)
+    return fitted.withColumn("pw_base_failed", base_failed()).withColumn("pw_kept", ~F.col("pw_base_failed") & F.col("pw_fits")).drop("pw_fits")
 
 
 def keep_good(docs: DataFrame, model_path: str, out_dir: str, *, bands: Bands = Bands(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -275,10 +275,14 @@ def test_many_distinct_words_pack_exactly():
 def test_bands_reject_strange_tokens(spark, out_dir):
     rng = np.random.default_rng(0)
     plain = ["house", "garden", "river", "people", "because", "mountain", "through", "winter", "little", "morning"]
-    rows = [(k, " ".join(rng.choice(plain, 120)), "en") for k in range(60)]
-    rows += [(100, " ".join("".join(chr(int(c)) for c in rng.integers(0x1200, 0x1350, 5)) for _ in range(60)), "en"), (101, " ".join(rng.permutation([f"{a}%%%&&{b}###" for a in plain for b in plain])[:90]), "en")]
-    got = {r.doc_id: r.pw_kept for r in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES, out_dir).collect()}
-    assert all(got[k] for k in range(60)) and not got[100] and not got[101]
+    rows = [(k, " ".join(rng.choice(plain, 100)), "en") for k in range(60)]
+    odd = [" ".join("".join(chr(int(c)) for c in rng.integers(0x1200, 0x1350, 3)) for _ in range(10)), " ".join(rng.permutation([f"{a}%%%&{b}##" for a in plain for b in plain])[:12]), " ".join(["house"] * 8 + ["river", "winter"] * 40)]
+    rows += [(100 + k, t, "en") for k, t in enumerate(odd)] + [(200, odd[0], "fr"), (201, odd[0], None)]
+    got = {r.doc_id: r for r in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES, out_dir).collect()}
+    assert all(got[k].pw_kept for k in range(60)) and not any(got[100 + k].pw_kept for k in range(3))
+    assert all(64 <= got[k].pw_stats.n_tokens < 128 for k in (0, 59, 100, 101))
+    # one text of a language doesn't tell what is usual there
+    assert got[200].pw_kept and got[201].pw_kept and got[201].pw_stats.band_group == "script:ETHIOPIC"
 
 
 # ---- 8: licences
