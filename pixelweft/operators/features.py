@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweft.functions.color import Channel, Steps, space
+from pixelweft.runtime import join_checked
 
 
 def level(x: Column) -> Column:
@@ -19,10 +20,10 @@ def scale_to_range(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("
     """Scale columns so that each image's smallest value is 0 and its largest 255; a constant channel becomes 0.
 
     The ranges are aggregated before their shuffle and joined back, so that large images aren't gathered in
-    one task; a table of ranges is small and Spark broadcasts it while it is.
+    one task, and pixels aren't shuffled while the table of ranges is small enough to be broadcast.
     """
     ranges = df.groupBy(*by).agg(*[f(c).alias(f"{c}_{n}") for c in columns for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    df = df.join(ranges, list(by))
+    df = join_checked(df, ranges, list(by))
     for c in columns:
         lo, width = F.col(f"{c}_lo"), F.col(f"{c}_hi") - F.col(f"{c}_lo")
         df = df.withColumn(c, F.when(width > 0, level((F.col(c) - lo) / width * 255.0)).otherwise(F.lit(0)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweft.operators.spatial import edge_cost, gaussian_blur, geodesic_within, normalize_p95
+from pixelweft.runtime import join_checked
 
 BACKGROUND, FOREGROUND, MAYBE_BACKGROUND, MAYBE_FOREGROUND = 0, 1, 2, 3
 
@@ -18,7 +19,7 @@ def classes(ann: DataFrame, col: str = "ann") -> DataFrame:
 def one_vs_rest(pixels: DataFrame, col: str = "ann") -> DataFrame:
     """Each pixel once for each class of its image, with seed_fg (this class) and seed_bg (background or another class)."""
     a = F.col(col)
-    rows = pixels.join(classes(pixels, col), "img")
+    rows = join_checked(pixels, classes(pixels, col), ["img"])
     return rows.withColumns({"seed_fg": a == F.col("class_id"), "seed_bg": (a == 1) | ((a > 1) & (a != F.col("class_id")))})
 
 

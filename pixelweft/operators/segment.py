@@ -12,6 +12,7 @@ from pixelweft.operators.fuse import fuse_classes, majority_vote
 from pixelweft.operators.grabcut import grabcut
 from pixelweft.operators.seeds import classes, expand, one_vs_rest, trimap
 from pixelweft.operators.spatial import distance_transform, guided_filter
+from pixelweft.runtime import join_checked
 
 DEFAULT_TRIO = ("ruderman_lab", "jzazbz", "oklch")
 PIXEL = ["img", "y", "x"]
@@ -19,7 +20,7 @@ PIXEL = ["img", "y", "x"]
 
 def scribble_distances(pixels: DataFrame, ann: str = "ann") -> DataFrame:
     """(img, y, x, class_id, dist): each pixel's distance to the nearest scribble of each class of its image."""
-    rows = pixels.join(classes(pixels, ann), "img").withColumn("pw_here", F.col(ann) == F.col("class_id"))
+    rows = join_checked(pixels, classes(pixels, ann), ["img"]).withColumn("pw_here", F.col(ann) == F.col("class_id"))
     return distance_transform(rows, "pw_here", ["img", "class_id"])
 
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweft.runtime import join_checked
+
 DIAGONAL = math.sqrt(2.0)
 #: Chamfer weights of a 3x3 distance transform for straight and diagonal steps.
 CHAMFER = (0.955, 1.3693)
@@ -38,7 +40,7 @@ def normalize_p95(df: DataFrame, col: str = "edge", keys: Sequence[str] = ("img"
     at most 1e-6 stay as they are."""
     p = df.groupBy(*keys).agg(F.percentile(col, F.lit(0.95)).alias("pw_p95"))
     v = F.col(col)
-    return df.join(p, list(keys)).withColumn(col, F.when(F.col("pw_p95") > 1e-6, F.least(F.greatest(v / F.col("pw_p95"), F.lit(0.0)), F.lit(1.0))).otherwise(v)).drop("pw_p95")
+    return join_checked(df, p, list(keys)).withColumn(col, F.when(F.col("pw_p95") > 1e-6, F.least(F.greatest(v / F.col("pw_p95"), F.lit(0.0)), F.lit(1.0))).otherwise(v)).drop("pw_p95")
 
 
 def gaussian_weights(sigma: float, radius: int) -> list[float]:

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -61,6 +62,18 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of at most some hundred bytes that a broadcast may hold.
+BROADCAST_ROWS = 200_000
+
+
+def join_checked(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a table that is small as a rule, such as one row for each image. It is written and counted first: up to
+    BROADCAST_ROWS it is broadcast, so that ``df`` needn't be shuffled; beyond, the join is a plain one. Left to itself, the
+    planner would guess the size of an aggregate from its input, and shuffle both sides before it sees better."""
+    table = materialize(small, workspace(df.sparkSession, "small"))
+    return df.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     """Create a folder, so that a reader finds it even if no file is written."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
