@@ -340,7 +340,7 @@ def _tokens(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "root binary, key binary, copies long, tokens binary")
 
 
-def classify(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 6, bucket: int = 1024, block: int = 2048) -> DataFrame:
+def classify(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 6, bucket: int = 1024, block: int = 512) -> DataFrame:
     """(id, th, key, class_id, n_links, rep_id, rep_th) of each document, rep_id and rep_th naming the document that stands for its
     class; ids that were null are NO_ID."""
     sigs = materialize(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle), f"{out_dir}/signatures")
