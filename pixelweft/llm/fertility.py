@@ -42,6 +42,8 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 NOT_BLANK = re.compile(r"[^\x20\x09-\x0D]")
 MEMO = 300_000
 BINS = 10_000
+#: Groups whose bands a broadcast may hold, of seven numbers each; more are joined plainly.
+BROADCAST_GROUPS = 20_000
 
 STATS = "chars_per_token double, byte_share double, entropy_share double"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -202,6 +204,8 @@ def _in_bands(measured: DataFrame, learned: dict[tuple[str, int], dict[str, tupl
     names = [m for m, _ in bands.top]
     rows = [(g, o, *[x for m in names for x in ms[m]]) for (g, o), ms in sorted(learned.items())]
     limits = measured.sparkSession.createDataFrame(rows, "pw_g string, pw_o int, " + ", ".join(f"pw_lo_{m} double, pw_hi_{m} double" for m in names))
+    if len(rows) <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
     out = measured.withColumns({"pw_g": F.col("pw_stats.band_group"), "pw_o": F.when(F.col("pw_stats.n_tokens") >= bands.min_tokens, _octave())}).join(limits, ["pw_g", "pw_o"], "left")
     fits = F.lit(True)
     for m in names:
