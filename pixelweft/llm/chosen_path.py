@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweft.llm.common import LOWER_ASCII, worker_memo
+from pixelweft.llm.common import LOWER_ASCII, release_memory, worker_memo
 from pixelweft.llm.components import components
 from pixelweft.runtime import discard, materialize, workspace
 
@@ -43,7 +43,7 @@ COORDS = 128
 #: Children of a node: 1, or 2 with this chance. 1 / (1 + MORE) is the least similarity at which paths keep up their number.
 MORE = 0.43
 NO_ID = -(1 << 63)
-MEMO = 500_000
+MEMO = 300_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -207,6 +207,8 @@ def _by_group(rows: DataFrame, group: list[str], work: Callable[[pa.Table], Iter
                 held = held.slice(begin)
         if held is not None and held.num_rows:
             yield from work(held.combine_chunks())
+        held = None
+        release_memory()
 
     return placed.mapInArrow(run, schema)
 
@@ -244,22 +246,25 @@ def _sketch_links(buckets: DataFrame, threshold: float) -> DataFrame:
         size = np.minimum(table["n"].to_numpy(), COORDS)
         spans = _spans(table, ["node", "bi", "bj"])
         end = np.repeat(spans[1:], np.diff(spans))
-        rows, found = np.arange(n), []
+        # Rows d places apart, for growing d. Rows that are linked already, directly or through others, aren't compared again, so
+        # a bucket of near copies costs a few rounds, and links are held for one round at a time.
+        rows, label = np.arange(n), np.arange(n)
         for d in range(1, int(np.diff(spans).max(initial=0))):
             rows = rows[rows + d < end[rows]]
-            for c in range(0, len(rows), 50_000):
-                i = rows[c : c + 50_000]
+            apart = rows[label[rows] != label[rows + d]]
+            hits = []
+            for c in range(0, len(apart), 50_000):
+                i = apart[c : c + 50_000]
                 same = np.count_nonzero(s[i] == s[i + d], axis=1)
-                i = i[same >= need[np.minimum(size[i], size[i + d])]]
-                found.append((i, i + d))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (rows[:0], rows[:0])
-        label = _stars(n, a, b)
+                hits.append(i[same >= need[np.minimum(size[i], size[i + d])]])
+            if hits and len(i := np.concatenate(hits)):
+                label = _stars(n, label[i], label[i + d])[label]
         linked = np.flatnonzero(label != np.arange(n))
         if len(linked):
             keys = table["key"].combine_chunks()
             yield pa.RecordBatch.from_pydict({"a": keys.take(pa.array(linked)), "b": keys.take(pa.array(label[linked]))})
 
-    return _by_group(buckets, ["node", "bi", "bj"], work, "a binary, b binary")
+    return _by_group(buckets, ["node", "bi", "bj"], work, "a binary, b binary", most=10_000)
 
 
 def candidate_links(reps: DataFrame, path: str, *, threshold: float, recall: float, depth: int, bucket: int) -> DataFrame:

@@ -22,11 +22,24 @@ def worker_memo(key: tuple, make: Callable[[], T]) -> T:
     """What a Python worker keeps from task to task: one thing at a time, so that the memos of operators that ran before
     don't add up in a worker that goes on to another one."""
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            release_memory()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, where the C library can: a worker that waits for its next task would keep it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -114,3 +114,11 @@ def test_thousands_of_files_are_one_node():
     flow = cheapest_transfers(supply, capacity, lambda i, j: int(i != j))
     assert [sum(v for (i, _), v in flow.items() if i == k) for k in (0, 9, 19_999)] == [supply[k] for k in (0, 9, 19_999)]
     assert sum(v for (i, j), v in flow.items() if i != j) == total - sum(supply[:8])
+
+
+def test_worker_memo_keeps_one_thing():
+    from pixelweft.llm import common
+
+    a = common.worker_memo(("a",), list)
+    assert common.worker_memo(("a",), list) is a
+    assert common.worker_memo(("b",), dict) == {} and common.worker_memo(("a",), list) is not a
