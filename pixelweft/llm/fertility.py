@@ -11,7 +11,8 @@ leading word mark) and measured by
 Rejection bands belong to a group of texts: those of one language (or, where it is null, of one script of most letters) and of one
 length, in octaves of tokens, as both measures depend on it. A band is the group's median, plus and minus a floor and ``width``
 times the distance to the quartile on that side (as standard deviations), so that the junk in a group hardly
-widens its band. Statistics come from histograms of fixed resolution, counted on the executors over every text:
+widens its band. Statistics come from histograms of fixed resolution, counted on the executors over every distinct text
+(by 64-bit hash), so that copies of one text, however many, weigh as one:
 what the driver gets is bounded by groups and bins. Groups with fewer than ``min_texts`` texts are too small to tell
 what is usual, and reject nothing.
 
@@ -177,10 +178,12 @@ def _octave(s: str = "pw_stats") -> Column:
 
 
 def learn_bands(measured: DataFrame, bands: Bands = Bands()) -> dict[tuple[str, int], dict[str, tuple[float, float]]]:
-    """{(group, octave): {measure: (lowest, highest)}} from every text with enough tokens."""
+    """{(group, octave): {measure: (lowest, highest)}} from every distinct text (pw_id) with enough tokens."""
     judged = measured.filter(F.col("pw_stats.n_tokens") >= bands.min_tokens)
-    cells = [F.struct(F.lit(m).alias("m"), F.least(F.floor(F.col(f"pw_stats.{m}") / top * BINS), F.lit(BINS - 1)).cast("int").alias("bin")) for m, top in bands.top]
-    counts = judged.select(F.col("pw_stats.band_group").alias("g"), _octave().alias("o"), F.explode(F.array(*cells)).alias("c")).groupBy("g", "o", "c.m", "c.bin").agg(F.count("*").alias("n"))
+    bins = [F.least(F.floor(F.col(f"pw_stats.{m}") / top * BINS), F.lit(BINS - 1)).cast("int").alias(m) for m, top in bands.top]
+    texts = judged.select(F.col("pw_stats.band_group").alias("g"), _octave().alias("o"), "pw_id", *bins).distinct()
+    cells = [F.struct(F.lit(m).alias("m"), F.col(m).alias("bin")) for m, _ in bands.top]
+    counts = texts.select("g", "o", F.explode(F.array(*cells)).alias("c")).groupBy("g", "o", "c.m", "c.bin").agg(F.count("*").alias("n"))
     found: dict[tuple[str, int], dict[str, list[tuple[int, int]]]] = {}
     for r in counts.toLocalIterator():
         found.setdefault((r.g, r.o), {}).setdefault(r.m, []).append((r.bin, r.n))
@@ -216,9 +219,10 @@ def _in_bands(measured: DataFrame, learned: dict[tuple[str, int], dict[str, tupl
 def judge(docs: DataFrame, model_path: str, out_dir: str, *, bands: Bands = Bands(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """All columns of ``docs`` but the text, pw_stats, pw_base_failed and pw_kept. The measures are written once to
     ``out_dir``: learning and judging read the same table."""
+    docs = docs.withColumn("pw_id", F.xxhash64(F.col(text_col).cast("string")))
     measured = materialize(measure(docs, model_path, text_col=text_col, lang_col=lang_col).drop(text_col), f"{out_dir}/measured")
     fitted = _in_bands(measured, learn_bands(measured, bands), bands)
-    return fitted.withColumn("pw_base_failed", base_failed()).withColumn("pw_kept", ~F.col("pw_base_failed") & F.col("pw_fits")).drop("pw_fits")
+    return fitted.withColumn("pw_base_failed", base_failed()).withColumn("pw_kept", ~F.col("pw_base_failed") & F.col("pw_fits")).drop("pw_fits", "pw_id")
 
 
 def keep_good(docs: DataFrame, model_path: str, out_dir: str, *, bands: Bands = Bands(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -285,6 +285,25 @@ def test_bands_reject_strange_tokens(spark, out_dir):
     assert got[200].pw_kept and got[201].pw_kept and got[201].pw_stats.band_group == "script:ETHIOPIC"
 
 
+def test_copies_of_one_text_do_not_move_the_bands(spark, out_dir):
+    rng = np.random.default_rng(1)
+    plain = ["house", "garden", "river", "people", "because", "mountain", "through", "winter", "little", "morning"]
+    texts = [" ".join(rng.choice(plain, 100)) for _ in range(120)]
+    junk = " ".join(rng.permutation([f"{a}%%%&{b}##" for a in plain for b in plain])[:12])
+    run = fertility.Measurer(PIECES)
+    clean = sorted(texts, key=lambda t: run(t)[6])[36]
+
+    def verdicts(copies, name):
+        df = spark.createDataFrame([(t, "en") for t in [*texts, junk, *copies]], "text string, lang string")
+        got = fertility.judge(df.withColumn("own", F.col("text")), PIECES, f"{out_dir}/{name}").collect()
+        return {(r.own, r.pw_kept) for r in got}
+
+    alone = verdicts([], "alone")
+    assert (junk, False) in alone and sum(k for _, k in alone) == 120
+    assert verdicts([clean] * 60, "clean") == alone
+    assert verdicts([junk] * 60, "junk") == alone
+
+
 # ---- 8: licences
 
 
