@@ -13,8 +13,10 @@ length, in octaves of tokens, as both measures depend on it. A band is the group
 times the distance to the quartile on that side (as standard deviations), so that the junk in a group hardly
 widens its band. Statistics come from histograms of fixed resolution, counted on the executors over every distinct text
 (by 64-bit hash), so that copies of one text, however many, weigh as one:
-what the driver gets is bounded by groups and bins. Groups with fewer than ``min_texts`` texts are too small to tell
-what is usual, and reject nothing.
+what the driver gets is bounded by groups and bins. Where an octave has fewer than ``min_texts`` distinct texts, its band is that of
+the octaves from the one below to the one above, or else that of all lengths of its language or script; these judge the means by token only, as the share of entropy
+falls with length and ordinary texts would leave a band of other lengths. Languages and scripts
+with fewer in all are too small to tell what is usual, and reject nothing.
 
 Texts with fewer than ``min_tokens`` tokens are too short to judge: no verdict against them. A text also fails by
 the base rules: under 10 words, or more than a fifth of its words in repeated 5-word windows. Null
@@ -43,6 +45,8 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 NOT_BLANK = re.compile(r"[^\x20\x09-\x0D]")
 MEMO = 300_000
 BINS = 10_000
+#: Measures whose level changes with a text's length: bands of other lengths don't hold for them.
+BY_LENGTH = ("entropy_share",)
 #: Groups whose bands a broadcast may hold, of seven numbers each; more are joined plainly.
 BROADCAST_GROUPS = 20_000
 
@@ -177,8 +181,15 @@ def _octave(s: str = "pw_stats") -> Column:
     return F.floor(F.log2(f"{s}.n_tokens")).cast("int")
 
 
+def _widening(octave: int, octaves: list[int]) -> Iterator[list[int]]:
+    """The octave alone, with its neighbours, and all of its group."""
+    yield [octave]
+    yield [o for o in octaves if abs(o - octave) <= 1]
+    yield octaves
+
+
 def learn_bands(measured: DataFrame, bands: Bands = Bands()) -> dict[tuple[str, int], dict[str, tuple[float, float]]]:
-    """{(group, octave): {measure: (lowest, highest)}} from every distinct text (pw_id) with enough tokens."""
+    """{(group, octave): {measure: (lowest, highest)}}, without measures that its texts can't be judged by, from every distinct text (pw_id) with enough tokens."""
     judged = measured.filter(F.col("pw_stats.n_tokens") >= bands.min_tokens)
     bins = [F.least(F.floor(F.col(f"pw_stats.{m}") / top * BINS), F.lit(BINS - 1)).cast("int").alias(m) for m, top in bands.top]
     texts = judged.select(F.col("pw_stats.band_group").alias("g"), _octave().alias("o"), "pw_id", *bins).distinct()
@@ -187,11 +198,19 @@ def learn_bands(measured: DataFrame, bands: Bands = Bands()) -> dict[tuple[str,
     found: dict[tuple[str, int], dict[str, list[tuple[int, int]]]] = {}
     for r in counts.toLocalIterator():
         found.setdefault((r.g, r.o), {}).setdefault(r.m, []).append((r.bin, r.n))
+    octaves: dict[str, list[int]] = {}
+    for g, o in found:
+        octaves.setdefault(g, []).append(o)
     floors, tops, out = dict(bands.floor), dict(bands.top), {}
-    for key, measures in found.items():
-        if sum(n for _, n in next(iter(measures.values()))) < bands.min_texts:
+    for key in found:
+        for near in _widening(key[1], octaves[key[0]]):
+            pool = [found[key[0], o] for o in near]
+            if sum(n for measures in pool for _, n in next(iter(measures.values()))) >= bands.min_texts:
+                break
+        else:
             continue
-        for m, bins in measures.items():
+        for m in tops if near == [key[1]] else [m for m in tops if m not in BY_LENGTH]:
+            bins = [b for measures in pool for b in measures[m]]
             low, mid, high = (tops[m] * _quantile(sorted(bins), q) for q in (0.25, 0.5, 0.75))
             slack = [floors[m] + bands.width * far / 0.6745 for far in (mid - low, high - mid)]
             out.setdefault(key, {})[m] = (mid - slack[0], mid + slack[1])
@@ -205,7 +224,7 @@ def base_failed(s: str = "pw_stats") -> Column:
 def _in_bands(measured: DataFrame, learned: dict[tuple[str, int], dict[str, tuple[float, float]]], bands: Bands) -> DataFrame:
     """Adds pw_fits: true unless a text is long enough and one of its measures is outside its group's band."""
     names = [m for m, _ in bands.top]
-    rows = [(g, o, *[x for m in names for x in ms[m]]) for (g, o), ms in sorted(learned.items())]
+    rows = [(g, o, *[x for m in names for x in ms.get(m, (None, None))]) for (g, o), ms in sorted(learned.items())]
     limits = measured.sparkSession.createDataFrame(rows, "pw_g string, pw_o int, " + ", ".join(f"pw_lo_{m} double, pw_hi_{m} double" for m in names))
     if len(rows) <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)

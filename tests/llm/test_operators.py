@@ -304,6 +304,21 @@ def test_copies_of_one_text_do_not_move_the_bands(spark, out_dir):
     assert verdicts([junk] * 60, "junk") == alone
 
 
+def test_small_octaves_fall_back_to_wider_groups(spark, out_dir):
+    rng = np.random.default_rng(2)
+    plain = ["house", "garden", "river", "people", "because", "mountain", "through", "winter", "little", "morning"]
+    strange = lambda n: " ".join("".join(chr(int(c)) for c in rng.integers(0x1200, 0x1350, 3)) for _ in range(n))
+    rows = [(k, " ".join(rng.choice(plain, 100)), "en") for k in range(60)]
+    rows += [(100, strange(20), "en"), (101, " ".join(rng.choice(plain, 180)), "en"), (102, strange(160), "en")]
+    rows += [(200 + k, strange(20), "fr") for k in range(5)]
+    got = {r.doc_id: r for r in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES, out_dir).collect()}
+    octave = {k: int(math.log2(got[k].pw_stats.n_tokens)) for k in (0, 100, 101, 102)}
+    assert octave[0] == 6 and octave[100] == octave[101] == 7 and octave[102] > 8
+    assert not any(got[k].pw_base_failed for k in (100, 101, 102))
+    assert not got[100].pw_kept and got[101].pw_kept and not got[102].pw_kept
+    assert all(got[k].pw_kept for k in range(60)) and all(got[200 + k].pw_kept for k in range(5))
+
+
 # ---- 8: licences
 
 
