@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go; a document made of such lines alone stays as it is. n_chars follows the text."""
+    """Boilerplate lines of each source go; a document with most of its words in such lines stays as it is. n_chars follows the text."""
     done = drop_boilerplate(docs, workspace(spark, "lines"), host_col="source", keep_whole=True)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("pw_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -42,6 +42,10 @@ def has_content(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS)) != ""
 
 
+def n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[^ \t\r\n\x0b\x0c]+"))
+
+
 def host_key(host: Column) -> Column:
     return F.coalesce(F.concat(F.lit("host:"), host.cast("string")), F.lit("none"))
 
@@ -58,8 +62,8 @@ def boilerplate(pages: DataFrame, out_dir: str, *, host_col: str, text_col: str,
 
 def drop_boilerplate(pages: DataFrame, out_dir: str, *, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 5, keep_whole: bool = False) -> DataFrame:
     """All columns, the text without its host's boilerplate lines, and pw_lines and pw_dropped: lines with
-    content before, and those dropped. With ``keep_whole``, a page of which no line with content would be left stays
-    as it is: furniture of a site doesn't make up a whole page, but the lines of a page with many copies may all be frequent."""
+    content before, and those dropped. With ``keep_whole``, a page that would lose most of its words stays
+    as it is: furniture of a site rarely makes up most of a page, but the lines of a page with many copies or near copies are frequent themselves."""
     found = boilerplate(pages, out_dir, host_col=host_col, text_col=text_col, max_ratio=max_ratio, min_pages=min_pages)
     found = materialize(found, f"{out_dir}/boilerplate")
     lists = materialize(found.groupBy("pw_host").agg(F.collect_list(F.struct("a", "b")).alias("pw_bad")), f"{out_dir}/lists")
@@ -70,7 +74,8 @@ def drop_boilerplate(pages: DataFrame, out_dir: str, *, host_col: str = "source"
     left = F.when(F.col("pw_bad").isNull(), lines_of(text)).otherwise(F.filter(lines_of(text), lambda x: ~(has_content(x) & F.array_contains(F.col("pw_bad"), line_key(x)))))
     marked = marked.withColumn("pw_left", left)
     if keep_whole:
-        marked = marked.withColumn("pw_left", F.when(F.exists("pw_left", has_content), F.col("pw_left")).otherwise(lines_of(text)))
+        kept, total = n_words(F.array_join("pw_left", "\n")), n_words(text)
+        marked = marked.withColumn("pw_left", F.when((F.size("pw_left") < F.size(lines_of(text))) & (2 * kept < total), lines_of(text)).otherwise(F.col("pw_left")))
     n = F.coalesce(F.size(F.filter(lines_of(text), has_content)), F.lit(0)).cast("long")
     marked = marked.withColumn("pw_lines", F.when(text.isNull(), F.lit(0).cast("long")).otherwise(n))
     marked = marked.withColumn("pw_dropped", F.when(text.isNull(), F.lit(0).cast("long")).otherwise((F.size(lines_of(text)) - F.size("pw_left")).cast("long")))

@@ -76,6 +76,16 @@ def test_line_dedup(spark, out_dir):
     assert line_dedup.drop_boilerplate(docs.limit(0), f"{out_dir}-e").count() == 0
 
 
+def test_near_copies_above_the_ratio_stay_whole(spark, out_dir):
+    lines = [f"line {j} of a passage that many pages share" for j in range(20)]
+    copies = {k: "\n".join(["menu home", *lines[: k % 20], f"edit {k}", *lines[k % 20 + 1 :]]) for k in range(30)}
+    others = {100 + k: f"menu home\nbody of page {k}\nand {k} more words" for k in range(60)}
+    docs = spark.createDataFrame([(k, "s", t) for k, t in {**copies, **others}.items()], "doc_id long, source string, text string")
+    got = {r.doc_id: (r.text, r.pw_dropped) for r in line_dedup.drop_boilerplate(docs, out_dir, keep_whole=True).collect()}
+    assert all(got[k] == (t, 0) for k, t in copies.items())
+    assert all(got[k] == (t.removeprefix("menu home\n"), 1) for k, t in others.items())
+
+
 def test_line_dedup_joins_alike_beyond_the_broadcast_bound(spark, odd_docs, out_dir, monkeypatch):
     docs, _ = odd_docs
     run = lambda d: sorted((str(tuple(r)) for r in line_dedup.drop_boilerplate(docs, d, max_ratio=0.05, min_pages=1).collect()))
