@@ -43,6 +43,7 @@ SENTENCES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-form",
     "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-copy",
@@ -65,21 +66,24 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc-by-nc-notice",)),
     ("CC-BY-4.0", ("cc-by-notice",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-notice",)),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-grant",)),
     ("MPL-2.0", ("mpl-form", "mpl-copy")),
     ("all-rights-reserved", ("reserved",)),
 )
 #: Every known sentence holds one of these inside a word, in lower case: texts without any are not cut up.
 MARKS = ("licen", "permi", "warrant", "redistribut", "reserved", "software", "mpl")
+#: A sentence with a name of its own in it, whole or cut after a point in the name ("Example Inc."), and the known sentence it stands for.
+BSD_NAME = next(s for s, i in SENTENCES.items() if i == "bsd-name")
+ANY_BSD_NAME = "^(neither the name of .*)?" + BSD_NAME[BSD_NAME.index("nor the names of") :].replace("of its", "of (its|any|their)") + "$"
 
 SENTENCE_END, OTHER = r"([.!?:;])[ \t\r\n]+", "[^a-z0-9]+"
 
 
 def _ids(lower: Column) -> Column:
     """Identifiers of the known sentences of lower-case lines, in order."""
-    bare = F.transform(F.split(F.regexp_replace(lower, SENTENCE_END, "$1\n"), "\n", -1), lambda s: F.trim(F.regexp_replace(s, OTHER, " ")))
+    bare = F.transform(F.split(F.regexp_replace(lower, SENTENCE_END, "$1\n"), "\n", -1), lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, OTHER, " ")), ANY_BSD_NAME, BSD_NAME))
     known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
     return F.transform(F.filter(bare, lambda s: F.array_contains(F.map_keys(known), s)), lambda s: F.try_element_at(known, s))
 

@@ -351,6 +351,14 @@ def test_license_rules(spark, odd_docs):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_bsd_clauses_are_told_apart(spark):
+    two = "All rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    three = two + "3. Neither the name of %s nor the names of its contributors may be\n   used to endorse or promote products derived from this software without\n   specific prior written permission.\n"
+    texts = {2: two, 3: three % "the copyright holder", 4: three % "the University of Somewhere", 5: three % "Example Inc.", 6: two[: two.index("2. ")]}
+    got = {r.doc_id: r.pw_licenses for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {2: ["BSD-2-Clause", "all-rights-reserved"], **{k: ["BSD-3-Clause", "all-rights-reserved"] for k in (3, 4, 5)}, 6: ["all-rights-reserved"]}
+
+
 # ---- 9: near copies
 
 
