@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelweft.llm.common import open_output, range_bounds, range_bucket, worker_memo
+from pixelweft.llm.common import open_output, worker_memo
 from pixelweft.runtime import materialize
 
 MAGIC = b"EFIDS\x001\n"
@@ -37,6 +37,10 @@ EF_HEAD = struct.Struct("<QQBQQQ")
 SAMPLE = 256
 #: Distinct chunks whose ids a worker keeps at once; half go beyond it.
 MEMO = 600_000
+#: Tasks that write; beyond so many, each writes more files.
+MOST_TASKS = 100_000
+#: Tasks whose files are summed up together.
+GROUP = 1024
 #: Marks that may follow a chunk's letters.
 MARKS = ".,!?"
 
@@ -137,7 +141,8 @@ class Encoder:
     """Text to token bytes. The pre-tokenizer drops white space and no token crosses it, so a text is
     encoded chunk by chunk between blanks and line feeds, and frequent chunks only once. It also parts
     letters from marks behind them and lower-cases, so a chunk of letters and final marks is put
-    together from its lower-case letters and its marks."""
+    together from its lower-case letters and its marks. Which characters that holds for is asked of the tokenizer, one by one, when they first
+    occur; a chunk with any other character is encoded as it is."""
 
     def __init__(self, tokenizer_path: str, end_id: int | None):
         from tokenizers import Tokenizer
@@ -146,21 +151,36 @@ class Encoder:
         self.width = 2 if max(self.tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.end = b"" if end_id is None else int(end_id).to_bytes(self.width, "little")
-        self.splits = self._splits_marks()
+        self.letters: set[str] = set()
+        self.others: set[str] = set()
         self.memo: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
-    def _splits_marks(self) -> bool:
-        """Whether this tokenizer lower-cases letters and parts them from marks."""
-        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        return all(ids(f"Ab{m}") == ids("ab") + ids(m) for m in (*MARKS, MARKS))
+    def _joins_letters(self, c: str) -> bool:
+        """Whether this tokenizer keeps a character in one part with letters before it, apart from any mark behind it, in lower case and
+        out of it alike. Its own normaliser and splitter are asked, as a character may become several there: U+0130 gets
+        a combining dot, which isn't a letter and goes with the mark."""
+        normal, parts = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if c == "\u03a3" or normal is None or parts is None or not c.isalpha():
+            return False
+        low = normal.normalize_str(c)
+        if normal.normalize_str(c.lower()) != low:
+            return False
+        for m in (*MARKS, MARKS):
+            found = parts.pre_tokenize_str(f"a{low}a{low}{m}")
+            if len(found) != 2 or found[1] != (m, (2 + 2 * len(low), 2 + 2 * len(low) + len(m))):
+                return False
+        return normal.normalize_str(f"a{c}a{c}{MARKS}") == f"a{low}a{low}{MARKS}"
 
     def _stem(self, chunk: str) -> tuple[str, str]:
+        """A chunk's letters in lower case and its marks; the chunk itself and nothing, unless all its letters are known to be parted there."""
         stem = chunk.rstrip(MARKS)
-        if not self.splits or not stem.isalpha():
-            return chunk, ""
-        low = stem.lower()
-        return (low if len(low) == len(stem) and "\u03a3" not in stem else stem), chunk[len(stem) :]
+        if odd := set(stem).difference(self.letters):
+            for c in odd.difference(self.others):
+                (self.letters if self._joins_letters(c) else self.others).add(c)
+            if not odd.isdisjoint(self.others):
+                return chunk, ""
+        return stem.lower(), chunk[len(stem) :]
 
     def _learn(self, parts: list[str]) -> None:
         """Encode parts in one call, put together with blanks, and cut the ids at the parts' places."""
@@ -197,48 +217,63 @@ class Encoder:
 def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, file_bytes: int = 16 << 20) -> DataFrame:
     """Encode every document and write the files; returns the manifest (part, file, n_docs, n_ids).
 
-    ``file_bytes`` is the text that one file covers, about: it bounds what a task holds. Documents go
-    to their part by ranges of the document id, whose split points come from quantiles, so no range
-    holds more than its share, and the text is shuffled once.
+    Documents go to tasks by ranges of (id, text hash, place in the input), which Spark samples: so null ids, ids that repeat and
+    even rows that repeat as a whole are parted where they are many, and the text is shuffled once. A task writes
+    a file for about every ``file_bytes`` of text, which is what it holds at a time. The place tells equal rows apart only, so ``docs`` should be read
+    from files, whose rows a repeated task finds in the same order.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     total = own.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    bounds = range_bounds(own, "id", max(1, round(total / file_bytes)))
-    placed = own.withColumn("part", range_bucket("id", bounds))
-    placed = placed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), F.xxhash64("body"))
+    order = [F.col("id").asc_nulls_first(), F.col("th").asc()]
+    keyed = own.withColumns({"th": F.xxhash64("body"), "place": F.monotonically_increasing_id()})
+    placed = keyed.repartitionByRange(max(1, min(MOST_TASKS, round(total / file_bytes))), *order, "place").sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encode = worker_memo(("ids", tokenizer_path, end_id), lambda: Encoder(tokenizer_path, end_id))
-        part, names, runs = None, [], []
+        task, number, names, runs, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            path = f"{out_dir}/ids/part-{part:08d}.efids"
+            path = f"{out_dir}/ids/part-{task:08d}-{number:06d}.efids"
             stream, commit = open_output(path)
             stream.write(pack(names, runs, encode.width))
             commit()
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [path.rsplit("/", 1)[1]], "n_docs": pa.array([len(names)], pa.int64()), "n_ids": pa.array([sum(map(len, runs)) // encode.width], pa.int64())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([task << 32 | number], pa.int64()), "file": [path.rsplit("/", 1)[1]], "n_docs": pa.array([len(names)], pa.int64()), "n_ids": pa.array([sum(map(len, runs)) // encode.width], pa.int64())})
 
         for batch in batches:
-            for i, text, p in zip(batch["id"].to_pylist(), batch["body"], batch["part"].to_pylist(), strict=True):
-                if p != part:
-                    if names:
-                        yield flush()
-                    part, names, runs = p, [], []
+            for i, text in zip(batch["id"].to_pylist(), batch["body"], strict=True):
+                text = text.as_py()
                 names.append(i)
-                runs.append(encode(text.as_py()))
+                runs.append(encode(text))
+                held += len(text or "")
+                if held >= 2 * file_bytes:
+                    yield flush()
+                    number, names, runs, held = number + 1, [], [], 0
         if names:
             yield flush()
 
-    manifest = placed.select("id", "body", "part").mapInArrow(write, "part int, file string, n_docs long, n_ids long")
+    manifest = placed.select("id", "body").mapInArrow(write, "part long, file string, n_docs long, n_ids long")
     return materialize(manifest, f"{out_dir}/manifest")
 
 
+def bases(manifest: DataFrame) -> DataFrame:
+    """(file, base): the ids of all files before each one. Sums run inside groups of GROUP tasks and over the groups' totals, so that
+    no task sees the whole manifest."""
+    group = F.shiftright(F.col("part"), 32 + GROUP.bit_length() - 1)
+    own = manifest.select("file", "part", "n_ids", group.alias("g"))
+    ahead = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    totals = own.groupBy("g").agg(F.sum("n_ids").alias("t")).select("g", F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return own.withColumn("own", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(totals, "g").select("file", (F.col("before") + F.col("own")).alias("base"))
+
+
 def read_token_files(spark, out_dir: str, manifest: DataFrame) -> DataFrame:
     """Every document of the files: id, start (ids of all documents before it), n_tokens and the
     unsigned crc32 of its ids as little-endian 32-bit numbers. Files are read by Spark's own reader."""
     import zlib
 
-    schema = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+    schema = "file string, doc_id long, local_start long, n_tokens long, ids_crc32 long"
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -248,10 +283,7 @@ def read_token_files(spark, out_dir: str, manifest: DataFrame) -> DataFrame:
                 f = TokenFile(content.as_buffer())
                 ends = f.bounds.decode().astype(np.int64)
                 crc = [zlib.crc32(f.ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
-                part = int(path.rsplit("-", 1)[1].split(".")[0])
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * f.n_docs, pa.int32()), "doc_id": pa.array(f.all_doc_ids(), pa.int64()), "local_start": pa.array(ends[:-1]), "n_tokens": pa.array(np.diff(ends)), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"file": [path.rsplit("/", 1)[1]] * f.n_docs, "doc_id": pa.array(f.all_doc_ids(), pa.int64()), "local_start": pa.array(ends[:-1]), "n_tokens": pa.array(np.diff(ends)), "ids_crc32": pa.array(crc, pa.int64())})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.efids").load(f"{out_dir}/ids")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return files.select("path", "content").mapInArrow(read, schema).join(base, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return files.select("path", "content").mapInArrow(read, schema).join(bases(manifest), "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

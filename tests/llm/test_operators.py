@@ -50,6 +50,30 @@ def test_chunks_are_encoded_as_whole_texts_are():
         assert np.frombuffer(e(text), "<u2").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_every_kind_of_character_is_encoded_as_in_whole_texts():
+    rng = np.random.default_rng(4)
+    e = token_files.Encoder(BPE, None)
+    blocks = [*range(0x80, 0x600), *range(0x900, 0xA00), *range(0x10A0, 0x1200, 3), *range(0x1C80, 0x1D00), *range(0x1E00, 0x2200), *range(0xA640, 0xA7FF, 2), *range(0xFB00, 0xFB1E), *range(0x10400, 0x10450)]
+    texts = [f"{c}. a{c}, TA{c}O{c}! {c}{c}.," for c in map(chr, blocks)]
+    odd = "İIıiSsΣσςßẞﬁﬂǅÅKΩक़़́̇̈'.,!? \n\tabTR0१²½-_()<|endoftext|>"
+    texts += ["ALİ.", "ALİ, geldi", "TATİLİ!", "ΟΔΟΣ. ΟΔΟΣ ΣΑ!", *("".join(rng.choice(list(odd), int(rng.integers(1, 25)))) for _ in range(20_000))]
+    want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, w in zip(texts, want, strict=True) if np.frombuffer(e(t), e.kind).tolist() != w.ids] == []
+    assert "é" in e.letters and "İ" in e.others
+
+
+def test_many_equal_ids_and_files_keep_their_starts(spark, out_dir, monkeypatch):
+    monkeypatch.setattr(token_files, "GROUP", 4)
+    rows = [(None if k % 3 else k, f"word{k % 5} " * (k % 11)) for k in range(400)] + [(7, "again and again")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{out_dir}/docs")
+    manifest = token_files.write_token_files(spark.read.parquet(f"{out_dir}/docs"), f"{out_dir}/ids", BPE, file_bytes=800)
+    assert manifest.count() > 10 and manifest.agg(F.max("n_docs")).first()[0] < 300
+    got = sorted(token_files.read_token_files(spark, f"{out_dir}/ids", manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert len(got) == len(rows) and [none_first(r.doc_id) for r in got] == sorted(none_first(i) for i, _ in rows)
+
+
 def test_memo_bound_changes_nothing(monkeypatch):
     monkeypatch.setattr(token_files, "MEMO", 3)
     e, f = token_files.Encoder(BPE, 1), token_files.Encoder(BPE, 1)
