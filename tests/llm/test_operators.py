@@ -539,6 +539,40 @@ def test_samples_do_not_depend_on_the_batch(pieces):
     assert [len(w) for w in whole][1:3] == [1, 1] and whole[1][0][0].tolist() == []
 
 
+def test_long_units_draw_numbers_of_their_own(pieces):
+    # one unit of 200,000 characters: its steps run far beyond 65,536, and the next units must not repeat its numbers
+    long = "qx" * 100_000
+    texts = [f"{long} qx qx qx qx", "qx qx", long]
+    lat, numbers = gumbel_pieces.Units(pieces)(texts)
+    got = gumbel_pieces.sample_texts(lat, numbers, [1, 2, 3], 2)
+    for t, rows in zip(texts, got, strict=True):
+        assert len(rows) == 2 and rows[0][0].tolist() != rows[1][0].tolist()
+        assert all(pieces.decode(ids.tolist()) == t for ids, *_ in rows)
+    seen = []
+    real = gumbel_pieces.uniform
+
+    def spy(key, a, b):
+        out = real(key, a, b)
+        if np.ndim(b):
+            seen.append(out)
+        return out
+
+    gumbel_pieces.uniform = spy
+    try:
+        lat, numbers = gumbel_pieces.Units(pieces)([texts[0]])
+        gumbel_pieces.sample_texts(lat, numbers, [1], 1)
+    finally:
+        gumbel_pieces.uniform = real
+    drawn = np.concatenate(seen)
+    assert len(drawn) > 1 << 16 and len(np.unique(drawn)) == len(drawn)
+
+
+def test_round_trip_is_against_the_text_itself(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "plain text"), (2, "a \u2581 b"), (3, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.round_trip) for r in gumbel_pieces.encode_samples(docs, PIECES, k=2).collect()}
+    assert got == {(1, True), (2, False), (3, True)}
+
+
 def test_encode_samples(spark, odd_docs, odd_rows):
     docs, empty = odd_docs
     got = gumbel_pieces.encode_samples(docs, PIECES, k=2).collect()
