@@ -127,7 +127,7 @@ def test_reshard(spark, out_dir, n_new):
     rows = [(int(i), "x" * int(rng.integers(0, 400)) + str(i), int(i % 3)) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, old int")
     done = reshard.reshard(docs, out_dir, n_new, shard_col="old")
-    got = reshard.with_slots(done.rows).collect()
+    got = reshard.with_slots(done.rows, out_dir).collect()
     assert sorted(r.doc_id for r in got) == list(range(900))
     assert all(r.size == len(rows[r.doc_id][1].encode()) + 1 and r.text_crc32 == zlib.crc32(rows[r.doc_id][1].encode()) for r in got)
     sizes = collections.Counter()
@@ -139,9 +139,13 @@ def test_reshard(spark, out_dir, n_new):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * 401
     old = [sum(len(t.encode()) + 1 for _, t, o in rows if o == k) for k in range(3)]
     total = sum(old)
-    least = sum(max(0, o - (total // n_new + (k < total % n_new) if k < n_new else 0)) for k, o in enumerate(old))
+    capacity = [total // n_new + (k < total % n_new) for k in range(n_new)]
+    # with two new shards, the third old one is adopted by the smaller of the others
+    assert done.home == ([0, 1, 0 if old[0] < old[1] else 1] if n_new == 2 else [0, 1, 2])
+    held = [sum(o for o, h in zip(old, done.home, strict=True) if h == k) for k in range(n_new)]
+    least = sum(max(0, o - c) for o, c in zip(held, capacity, strict=True))
     assert done.moved_bytes == least
-    moved = sum(r.size for r in got if rows[r.doc_id][2] != r.shard)
+    moved = sum(r.size for r in got if done.home[rows[r.doc_id][2]] != r.shard)
     assert abs(moved - least) <= 401 * n_new
 
 
@@ -152,6 +156,52 @@ def test_reshard_of_files_odd_and_empty(spark, odd_docs, odd_rows, out_dir):
     assert reshard.written_shards(empty, f"{out_dir}-e", 3).count() == 0
 
 
+def test_whole_files_are_assigned_and_few_are_rewritten(spark, out_dir, monkeypatch):
+    monkeypatch.setattr(reshard, "TASK_ROWS", 100)
+    rng = np.random.default_rng(6)
+    rows = [(int(k), "y" * int(rng.integers(0, 300))) for k in range(3200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(32).write.parquet(f"{out_dir}/docs")
+    docs = spark.read.option("maxPartitionBytes", "1k").parquet(f"{out_dir}/docs")
+    done = reshard.reshard_files(docs, f"{out_dir}/new", 8)
+    assert len(done.home) == 32 and sorted(collections.Counter(done.home).values()) == [4] * 8
+    # at most one old file of each home that has too much is split
+    assert len(done.rewritten) <= 7 and done.rewritten_bytes < 0.3 * sum(len(t) + 1 for _, t in rows)
+    got = reshard.with_slots(done.rows, f"{out_dir}/new").collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == [(i, len(t) + 1, zlib.crc32(t.encode())) for i, t in rows]
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.shard].append((r.slot, r.doc_id))
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 301 and set(sizes) == set(range(8))
+    for s in slots.values():
+        assert [x for x, _ in sorted(s)] == list(range(len(s))) and [i for _, i in sorted(s)] == sorted(i for _, i in s)
+
+
+def test_rows_that_repeat_are_parted_in_files(spark, out_dir, monkeypatch):
+    monkeypatch.setattr(reshard, "TASK_ROWS", 50)
+    monkeypatch.setattr(reshard, "BROADCAST_ROWS", -1)
+    spark.createDataFrame([(7, "the same row")] * 500, "doc_id long, text string").coalesce(1).write.parquet(f"{out_dir}/docs")
+    got = reshard.written_shards(spark.read.parquet(f"{out_dir}/docs"), f"{out_dir}/new", 8).collect()
+    count = collections.Counter(r.shard for r in got)
+    assert len(got) == 500 and max(count.values()) - min(count.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(n)) for k, n in count.items())
+
+
+def test_transfers_are_cheapest(out_dir):
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 8, 40):
+        supply = [int(x) for x in rng.integers(0, 1000, n)]
+        total = sum(supply)
+        capacity = [total // 8 + (j < total % 8) for j in range(8)]
+        home = reshard.homes_of(supply, capacity)
+        flow = reshard.cheapest_transfers(supply, capacity, home, lambda h, j: int(h != j))
+        held = [sum(s for s, h in zip(supply, home, strict=True) if h == j) for j in range(8)]
+        assert sum(v for (i, j), v in flow.items() if j != home[i]) == sum(max(0, x - c) for x, c in zip(held, capacity, strict=True))
+        assert [sum(v for (i, _), v in flow.items() if i == k) for k in range(n)] == supply
+        assert [sum(v for (_, j), v in flow.items() if j == k) for k in range(8)] == capacity
+        assert sum(len([1 for a, _ in flow if a == i]) > 1 for i in range(n)) <= 8
+
+
 # ---- 4: WARC
 
 
