@@ -1,10 +1,9 @@
 """Quality rules from tokeniser fertility.
 
 Public vocabularies are built for ordinary prose: it costs them a typical number of characters for each token, few
-byte-fallback tokens, and spreads over many tokens. Each text is encoded word by word (a word with its
-leading word mark) and measured by
+byte-fallback tokens, and spreads over many tokens. Each text is encoded as a whole, its blanks and line feeds too, and measured by
 
-* characters per token,
+* characters per token, of words: runs of blanks and line feeds cost tokens and give no characters,
 * byte-fallback share: tokens that stand for single bytes,
 * token entropy in bits, over the text's tokens, as a share of the most that so many tokens can have.
 
@@ -26,8 +25,10 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +44,10 @@ WINDOW = 5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: ASCII white space, as in the byte sets of the base rules; a word is anything else.
 NOT_BLANK = re.compile(r"[^\x20\x09-\x0D]")
-MEMO = 300_000
+#: Characters of a text that are encoded at a time, and a place where a text may be cut: before a blank with another character in front.
+PART = 200_000
+MARK = "\u2581"
+CUT = re.compile(f"[^ {MARK}] ")
 BINS = 10_000
 #: Measures whose level changes with a text's length: bands of other lengths don't hold for them.
 BY_LENGTH = ("entropy_share",)
@@ -111,38 +115,45 @@ def script_of(text: str) -> str:
 
 
 class Measurer:
-    """Base counts and fertility of texts; the tokens of frequent words are remembered."""
+    """Base counts and fertility of texts."""
 
     def __init__(self, model_path: str):
         import sentencepiece
 
-        self.encode = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        size = self.encode.get_piece_size()
-        self.is_byte = np.array([self.encode.is_byte(i) for i in range(size)])
-        self.mark = self.encode.piece_to_id("▁")
-        self.memo: dict[bytes, tuple[int, bytes]] = {}
-
-    def words(self, text: str) -> list[bytes]:
-        return text.encode("utf-8", "surrogatepass").split()
+        self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        size = self.model.get_piece_size()
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(size)])
+        # No piece goes on past a blank, nor holds a line feed, in the public models; others are encoded in one go whatever their length.
+        inside = [self.model.id_to_piece(i) for i in range(size)]
+        self.parts = not any(MARK in p.lstrip(MARK) or "\n" in p for p in inside) and len(self.model.encode("\n")) == 2
+
+    def tokens(self, text: str) -> np.ndarray:
+        """The ids of the whole text. Long ones are encoded in parts that begin with a blank, which gives the same ids in bounded memory: a line
+        feed put before a part keeps the model from adding a blank, and its two ids go."""
+        if len(text) <= PART or not self.parts:
+            return np.array(self.model.encode(text), dtype=np.int32)
+        out, at = [], 0
+        while at < len(text):
+            cut = CUT.search(text, at + PART)
+            end = cut.start() + 1 if cut else len(text)
+            ids = self.model.encode(("\n" if at else "") + text[at:end])
+            out.append(np.array(ids[2 if at else 0 :], dtype=np.int32))
+            at = end
+        return np.concatenate(out)
 
     def __call__(self, text: str | None) -> tuple:
         text = text or ""
-        words = self.words(text)
+        words = text.encode("utf-8", "surrogatepass").split()
         if not words:
             return (0, 0, len(SYMBOLS.findall(text)), repeated_lines(text), 0, 0, 0.0, 0.0, 0.0)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if new := list(set(words).difference(self.memo)):
-            for word, ids in zip(new, self.encode.encode([w.decode() for w in new], out_type=int, num_threads=1), strict=True):
-                self.memo[word] = np.array(ids, dtype=np.uint16 if len(self.is_byte) <= 1 << 16 else np.uint32).tobytes()
-        tokens = np.frombuffer(b"".join(map(self.memo.__getitem__, words)), dtype=np.uint16 if len(self.is_byte) <= 1 << 16 else np.uint32)
+        tokens = self.tokens(text)
         chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
         counts = np.bincount(tokens)
         n = len(tokens)
         share = counts[counts > 0] / n
         entropy = float(-(share * np.log2(share)).sum())
-        rank: dict[bytes, int] = {}
-        ids = np.fromiter((rank.setdefault(w, len(rank)) for w in words), dtype=np.int32, count=len(words))
+        rank = defaultdict(itertools.count().__next__)
+        ids = np.fromiter(map(rank.__getitem__, words), dtype=np.int32, count=len(words))
         return (len(words), chars, len(SYMBOLS.findall(text)), repeated_lines(text), repeated_words(ids), n, chars / max(n, 1), float(self.is_byte[tokens].mean()) if n else 0.0, entropy / np.log2(n) if n > 1 else 0.0)
 
 

@@ -349,6 +349,84 @@ def test_base_rules(spark, odd_docs, odd_rows, out_dir):
     assert fertility.judge(empty, PIECES, f"{out_dir}-e").count() == 0
 
 
+def plain_measures(text, model):
+    """Measures by the rules' words: the library's ids of the whole text."""
+    ids = model.encode(text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not words:
+        return 0, 0.0, 0.0, 0.0
+    n, counts = len(ids), collections.Counter(ids)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    return n, sum(map(len, words)) / n, sum(model.is_byte(i) for i in ids) / n, entropy / math.log2(n) if n > 1 else 0.0
+
+
+def plain_verdicts(rows):
+    """Kept or not, of (text, language) rows: another way to write the bands down, with sorted lists in place of histograms."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    bands, names = fertility.Bands(), ("chars_per_token", "byte_share", "entropy_share")
+    measured = {t: plain_measures(t, model) for t, _ in rows}
+    octave = lambda t: int(math.log2(measured[t][0]))
+    cells = collections.defaultdict(list)
+    for t, lang in {(t, lang) for t, lang in rows if measured[t][0] >= bands.min_tokens}:
+        cells[lang, octave(t)].append(measured[t])
+    out = []
+    for t, lang in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        windows = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        again = {i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)}
+        fits = not (len(words) < 10 or 100 * len(again) > 20 * len(words))
+        if measured[t][0] >= bands.min_tokens:
+            o = octave(t)
+            pools = [cells[lang, o], [x for (g, p), c in cells.items() if g == lang and abs(p - o) <= 1 for x in c], [x for (g, _), c in cells.items() if g == lang for x in c]]
+            k = next((k for k in range(3) if len(pools[k]) >= bands.min_texts), None)
+            for m, name in enumerate(names) if k is not None else ():
+                own_octave_only = all(p == o for (g, p) in cells if g == lang and (k == 2 or abs(p - o) <= 1))
+                if name == "entropy_share" and k and not own_octave_only:
+                    continue
+                top = dict(bands.top)[name]
+                ordered = sorted(min(int(x[m + 1] / top * fertility.BINS), fertility.BINS - 1) for x in pools[k])
+                low, mid, high = (top * (ordered[max(0, math.ceil(q * len(ordered)) - 1)] + 0.5) / fertility.BINS for q in (0.25, 0.5, 0.75))
+                floor = dict(bands.floor)[name]
+                fits &= mid - floor - bands.width * (mid - low) / 0.6745 <= measured[t][m + 1] <= mid + floor + bands.width * (high - mid) / 0.6745
+        out.append(fits)
+    return out
+
+
+def test_verdicts_against_brute_force(spark, out_dir):
+    rng = np.random.default_rng(9)
+    plain = ["house", "garden", "river", "people", "because", "mountain", "through", "winter", "little", "morning", "maßstab", "straße", "überall"]
+    rows = []
+    for k in range(260):
+        text = " ".join(rng.choice(plain, int(rng.integers(5, 400)))).replace(" winter", rng.choice([" winter", "\nwinter", ".\n\nWinter"]))
+        rows.append((text, ["en", "de", "en", "xx"][k % 4] if k < 250 else "rare"))
+    strange = lambda n: " ".join("".join(chr(int(c)) for c in rng.integers(0x1200, 0x1350, 3)) for _ in range(n))
+    junk = [strange(n) for n in (15, 30, 60, 120, 400)]
+    junk += ["".join(w + "\n" * int(rng.integers(1, 40)) for w in rng.choice(plain, 40)), "".join(w + " \t" * int(rng.integers(1, 30)) for w in rng.choice(plain, 60))]
+    junk += [" ".join(rng.permutation([f"{a}%%%&{b}##" for a in plain for b in plain])[:n]) for n in (12, 40)]
+    rows += [(t, lang) for t in junk for lang in ("en", "xx")] + [(rows[3][0], "en")] * 90 + [("too short", "en"), ("", "en")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in fertility.judge(df, PIECES, out_dir).collect()}
+    want = plain_verdicts(rows)
+    assert [got[k].pw_kept for k in range(len(rows))] == want
+    assert 5 < sum(not w and not got[k].pw_base_failed for k, w in enumerate(want)) < 60
+
+
+def test_tokens_are_those_of_whole_texts(monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = np.random.default_rng(10)
+    odd = "ab é▁  \n\n\t\r\x0b.,汉☃ \u3000\u200b\x00\ufeff\u0301ﬁ½"
+    monkeypatch.setattr(fertility, "PART", 7)
+    run = fertility.Measurer(PIECES)
+    assert run.parts
+    for _ in range(5_000):
+        text = "".join(rng.choice(list(odd), int(rng.integers(1, 60))))
+        assert run.tokens(text).tolist() == model.encode(text), ascii(text)
+
+
 def test_many_distinct_words_pack_exactly():
     ids = np.arange(20_000, dtype=np.int32)
     assert fertility.repeated_words(ids) == 0
