@@ -287,41 +287,130 @@ def test_proximity(spark, out_dir):
 # ---- 6: language model
 
 
-def test_language_model(spark, odd_docs, odd_rows, out_dir):
-    docs, empty = odd_docs
-    model = interpolated_lm.train_and_score(docs, out_dir, block_tokens=300)
-    texts = [(r[0], [w.decode() for w in interpolated_lm.tokens(r[1])] + ["<end>"]) for r in odd_rows]
-    one, two = collections.Counter(), collections.Counter()
+def lm_texts(rows):
+    return [(r[0], [w.decode() for w in interpolated_lm.tokens(r[1])] + ["<end>"]) for r in rows]
+
+
+def lm_counts(texts, folds, order):
+    """Counts of n-grams by order, of documents in these folds. The one token before a text is an end."""
+    out = [collections.Counter() for _ in range(order)]
     for i, t in texts:
-        if interpolated_lm.fold_of(i) != 2:
-            one.update(t)
-            two.update(zip(["<end>", *t[:-1]], t, strict=True))
-    n, v = sum(one.values()), len(one)
-    assert (model.n, model.v) == (n, v)
-    assert np.allclose(model.weights.sum(axis=1), 1)
+        if interpolated_lm.fold_of(i) in folds:
+            for j in range(len(t)):
+                out[0][(t[j],)] += 1
+                for k in range(1, order):
+                    if j - k >= -1:
+                        out[k][tuple((["<end>"] + t)[j + 1 - k : j + 2])] += 1
+    return out
+
+
+def lm_parts(t, j, counts, order):
+    """(count of the n-gram, count of its context) for each order that the place has."""
+    out = []
+    for k in range(1, order):
+        if j - k >= -1:
+            gram = tuple((["<end>"] + t)[j + 1 - k : j + 2])
+            out.append((counts[k][gram], counts[k - 1][gram[:-1]]))
+    return out
+
+
+def lm_prob(t, j, counts, weights, order):
+    n, v = sum(counts[0].values()), sum(c > 0 for c in counts[0].values())
+    p = 1 / (v + 1)
+    p = weights[0][0] * counts[0][(t[j],)] / max(n, 1) + (1 - weights[0][0]) * p
+    for k, (a, c) in enumerate(lm_parts(t, j, counts, order)[: len(weights) - 1]):
+        if c:
+            w = weights[k + 1][c.bit_length()]
+            p = w * a / c + (1 - w) * p
+    return p
+
+
+@pytest.mark.parametrize(("order", "options"), [(3, {}), (4, {"block_tokens": 30, "fan": 2, "bits": 2})])
+def test_language_model(spark, odd_docs, odd_rows, out_dir, order, options):
+    docs, empty = odd_docs
+    model = interpolated_lm.train_and_score(docs, out_dir, order=order, **options)
+    texts = lm_texts(odd_rows)
+    counts = lm_counts(texts, {0, 1, 3, 4, 5, 6}, order)
+    n, v = sum(counts[0].values()), len(counts[0])
+    assert (model.n, model.v) == (n, v) and len(model.weights) == order
     want = []
     for i, t in texts:
-        score = 0.0
-        for h, w in zip(["<end>", *t[:-1]], t, strict=True):
-            k = model.weights[int(interpolated_lm.bucket_of(np.array([one[h]]))[0])]
-            score += math.log10((k[0] * two[h, w] / one[h] if one[h] else 0) + k[1] * one[w] / n + k[2] / (v + 1))
-        want.append((i, interpolated_lm.fold_of(i) == 2, len(t), sum(one[w] > 0 for w in t), n, round(sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t), 6), round(score, 6)))
-    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in model.scores.collect()]
+        score = sum(math.log10(lm_prob(t, j, counts, model.weights, order)) for j in range(len(t)))
+        want.append((i, interpolated_lm.fold_of(i) == 2, len(t), sum(counts[0][(w,)] > 0 for w in t), n, round(sum(math.log10((counts[0][(w,)] + 1) / (n + v + 1)) for w in t), 6), round(score, 5)))
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 5)) for r in model.scores.collect()]
     key = lambda r: tuple(map(none_first, r))
-    assert sorted(got, key=key) == sorted(want, key=key)
-    assert interpolated_lm.train_and_score(empty, f"{out_dir}-e").scores.count() == 0
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-5 and abs(g[6] - w[6]) < 1e-3 + 1e-9 * abs(w[6])
+    assert interpolated_lm.train_and_score(empty, f"{out_dir}-e", order=order).scores.count() == 0
+
+
+def plain_weights(texts, order):
+    """The weights by EM on exact estimates, token by token."""
+    counts, held = lm_counts(texts, {0, 1, 4, 5, 6}, order), [t for i, t in texts if interpolated_lm.fold_of(i) == 3]
+    weights = []
+    for k in range(order):
+        seen = collections.defaultdict(list)
+        for t in held:
+            for j in range(len(t)):
+                parts = [(counts[0][(t[j],)], sum(counts[0].values()))] + lm_parts(t, j, counts, order)
+                if k < len(parts) and parts[k][1]:
+                    lower = lm_prob(t, j, counts, weights, k) if k else 1 / (sum(c > 0 for c in counts[0].values()) + 1)
+                    seen[parts[k][1].bit_length() if k else 0].append(parts[k][0] / parts[k][1] / lower)
+        own, last = np.zeros(interpolated_lm.BUCKETS), 0.5
+        for b in range(interpolated_lm.BUCKETS):
+            if seen[b]:
+                r, w = np.array(seen[b]), 0.5
+                for _ in range(500):
+                    w = min(max(float((w * r / (w * r + 1 - w)).mean()), interpolated_lm.LEAST), 1 - interpolated_lm.LEAST)
+                last = w
+            own[b] = last
+        weights.append(own)
+    return weights
+
+
+def test_weights_are_those_of_plain_em(spark, out_dir):
+    rng = np.random.default_rng(12)
+    vocab, p = [f"w{k}" for k in range(60)], np.array([1 / (k + 2) for k in range(60)])
+    after = {w: rng.choice(vocab, 6) for w in vocab}
+    rows = []
+    for i in range(160):
+        t = [str(rng.choice(vocab, p=p / p.sum()))]
+        for _ in range(int(rng.integers(5, 60))):
+            t.append(str(rng.choice(after[t[-1]])) if rng.random() < 0.6 else str(rng.choice(vocab, p=p / p.sum())))
+        rows.append((i, " ".join(t)))
+    model = interpolated_lm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string"), out_dir, block_tokens=700)
+    want = plain_weights(lm_texts(rows), 3)
+    counts = lm_counts(lm_texts(rows), {0, 1, 4, 5, 6}, 3)
+    assert abs(model.weights[0][0] - want[0][0]) < 0.01
+    for k in (1, 2):
+        used = {c.bit_length() for c in counts[k - 1].values()}
+        assert max(abs(model.weights[k][b] - want[k][b]) for b in used) < 0.02
+    assert 0.05 < want[1][4] < 0.95
+
+
+def test_messages_grow_with_the_blocks(spark, out_dir):
+    """Ten times the blocks send ten times the messages on each level, not a hundred times."""
+    rng = np.random.default_rng(13)
+    sent = {}
+    for size in (40, 400):
+        rows = [(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 5000, 100))) for i in range(size)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        blocks = interpolated_lm.encode_blocks(docs, f"{out_dir}/{size}/blocks", id_col="doc_id", text_col="text", block_tokens=100)
+        assert blocks.count() == size
+        read = interpolated_lm._read_block(2, 3, 2, 48)
+        one = interpolated_lm._send(blocks, read, 0, -(-size // 16), 48, 4).groupBy("cell", "grp").count().agg(F.sum("count"), F.max("count")).first()
+        sent[size] = one[0]
+        assert one[0] <= size << 4 and one[1] <= 48
+    assert sent[400] <= 11 * sent[40]
 
 
 def test_weights_make_the_deleted_fold_likelier():
     grid = interpolated_lm.GRID
-    cells = [(4, -grid, 10 * grid, 80), (4, interpolated_lm.ZERO, 2 * grid, 15), (4, interpolated_lm.ZERO, interpolated_lm.ZERO, 5), (0, interpolated_lm.ZERO, 3 * grid, 3)]
-    w = interpolated_lm.learn_weights(cells, 10_000, 500)
-    p = np.array([[0.5, 1024 / 10_000, 1 / 501], [0, 4 / 10_000, 1 / 501], [0, 0, 1 / 501]])
-    n = np.array([80, 15, 5])
-    best = n @ np.log(p @ w[4])
-    rng = np.random.default_rng(0)
-    assert all(n @ np.log(p @ x) <= best + 1e-6 for x in rng.dirichlet([1, 1, 1], 300))
-    assert w[0][0] == 0 and np.allclose(w[5], w[4])
+    cells = [(4, 3 * grid, 60), (4, -2 * grid, 25), (4, interpolated_lm.ZERO, 15), (0, interpolated_lm.ZERO, 3)]
+    w = interpolated_lm.learn_weights(cells)
+    like = lambda x: 60 * math.log(8 * x + 1 - x) + 25 * math.log(x / 4 + 1 - x) + 15 * math.log(1 - x)
+    assert all(like(x) <= like(w[4]) + 1e-6 for x in np.linspace(0.001, 0.999, 999))
+    assert w[0] <= 2 * interpolated_lm.LEAST and w[5] == w[4]
 
 
 # ---- 7: quality rules
