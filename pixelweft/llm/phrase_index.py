@@ -1,8 +1,10 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The corpus is cut into segments of about ``segment_words`` words. A segment's index is one row: for each
-term that the benchmark uses, the ascending positions (postings) at which it stands; positions run through
-the segment, with a gap between documents, so that no phrase crosses two. The index is written once.
+The corpus is cut into segments of about ``segment_words`` words. A segment's index is one row: its dictionary, all its terms in
+order, and for each term the ascending positions (postings) at which it stands; positions run through
+the segment, with a gap between documents, so that no phrase crosses two. Postings are packed in runs of terms, so that a search unpacks only those
+that hold a term it looks for. The index holds every word of the corpus and knows nothing of a benchmark: it is written once, and any
+number of test sets can be searched in it (``open_index``).
 
 A phrase t0..tk is found in a segment by intersecting offset-adjusted lists from the rarest term: its
 postings, minus its offset, are the candidate starts; the other terms' lists, by growing length, strike out
@@ -10,8 +12,8 @@ candidates. All phrases of a block of the benchmark are intersected at once. A p
 posting of the phrase's rarest term with every other term of it within ``slop`` words.
 
 The corpus is never shuffled or grouped by term, so no frequent term, passage or copied document is a hot
-key. The benchmark goes to the segments in blocks of at most ``block_phrases`` phrases, each broadcast; a larger
-benchmark means more blocks over the same index.
+key. The benchmark goes to the segments in blocks of at most ``block_phrases`` phrases, each broadcast with its own terms; a larger
+benchmark means more passes over the same index, one block at a time, whose hits are put together by document.
 
 Words are runs of letters and digits ([a-z0-9] after lower-casing A-Z) and of any characters beyond ASCII. Null and empty
 texts have no words. Benchmark rows without words match nothing; rows that repeat an item id add to that item's
@@ -21,14 +23,16 @@ benchmark finds nothing. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
-import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweft.llm.common import LOWER_ASCII
@@ -37,7 +41,9 @@ from pixelweft.runtime import materialize
 #: A word, over UTF-8 bytes after lower-casing A-Z: the bytes outside these ASCII ranges.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-SEGMENTS = "doc_ids binary, hashes binary, starts binary, terms binary, offsets binary, postings binary, n_words binary, n_null long"
+SEGMENTS = "segment long, doc_ids binary, no_id binary, hashes binary, starts binary, n_words binary, terms binary, counts binary, runs binary, postings array<binary>"
+#: Postings of a run of terms, about: a longer list is a run of its own.
+RUN = 16_384
 
 
 def words(text: str | None) -> list[bytes]:
@@ -53,17 +59,17 @@ def phrases(item: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ...]]:
 
 @dataclass
 class Block:
-    """Phrases of one block of the benchmark, over numbered terms."""
+    """Phrases of one block of the benchmark, over its own numbered terms."""
 
+    vocabulary: dict[bytes, int]
     terms: np.ndarray  # phrases x longest phrase, term number or -1
     lengths: np.ndarray
     items: list[list[int]]  # items of each phrase
 
 
-def read_benchmark(items: DataFrame, *, id_col: str, text_col: str, window: int, block_phrases: int) -> tuple[dict[bytes, int], list[Block], dict[int, object]]:
-    """The benchmark's terms, its phrases in blocks, and its item ids by number. The benchmark is a test
+def read_benchmark(items: DataFrame, *, id_col: str, text_col: str, window: int, block_phrases: int) -> tuple[list[Block], dict[int, object]]:
+    """The benchmark's phrases in blocks, and its item ids by number. The benchmark is a test
     set, read by the driver row by row."""
-    vocabulary: dict[bytes, int] = {}
     found: dict[tuple[bytes, ...], set[int]] = {}
     names: dict[object, int] = {}
     for r in items.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
@@ -71,64 +77,82 @@ def read_benchmark(items: DataFrame, *, id_col: str, text_col: str, window: int,
             continue
         for p in phrases(words(r.t), window):
             found.setdefault(p, set()).add(names.setdefault(r.i, len(names)))
-            for w in p:
-                vocabulary.setdefault(w, len(vocabulary))
     every, blocks = list(found), []
     for a in range(0, len(every), block_phrases):
         part = every[a : a + block_phrases]
         wide = max(map(len, part))
+        vocabulary: dict[bytes, int] = {}
         terms = np.full((len(part), wide), -1, dtype=np.int32)
         for k, p in enumerate(part):
-            terms[k, : len(p)] = [vocabulary[w] for w in p]
-        blocks.append(Block(terms, np.array([len(p) for p in part], dtype=np.int64), [sorted(found[p]) for p in part]))
-    return vocabulary, blocks, {v: k for k, v in names.items()}
+            terms[k, : len(p)] = [vocabulary.setdefault(w, len(vocabulary)) for w in p]
+        blocks.append(Block(vocabulary, terms, np.array([len(p) for p in part], dtype=np.int64), [sorted(found[p]) for p in part]))
+    return blocks, {v: k for k, v in names.items()}
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
+    """Numbers by byte planes, compressed."""
+    import zstandard
+
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"")
 
 
 def _unpack(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), dtype=kind)
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() if len(raw) else np.empty(0, kind)
+
 
+def build_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", gap: int = 64, segment_words: int = 500_000) -> DataFrame:
+    """Write the segments' postings and return them as a table, one row for each segment. Phrases and proximity searched in it reach
+    less than ``gap`` words."""
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int], path: str, *, id_col: str = "doc_id", text_col: str = "text", gap: int = 64, segment_words: int = 500_000) -> DataFrame:
-    """Write the segments' postings and return them as a table, one row for each segment."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(vocabulary)
+    def pack_segment(number: int, ids: list, hashes: list[int], rank: dict[bytes, int], found: list[np.ndarray]) -> dict:
+        import zstandard
 
-    def segment(ids: list, hashes: list[int], counts: list[int], found: list[np.ndarray]) -> dict:
-        starts = np.cumsum([0, *(n + gap for n in counts)])[:-1]
-        flat = np.concatenate(found) if found else np.empty(0, np.int32)
-        where = np.repeat(starts, counts) + np.arange(len(flat)) - np.repeat(np.cumsum([0, *counts])[:-1], counts)
-        keep = flat >= 0
-        flat, where = flat[keep], where[keep]
+        counts = np.array([len(f) for f in found], "<i8")
+        starts = np.cumsum(np.append(0, counts + gap))[:-1]
+        flat = np.concatenate(found)
+        where = np.repeat(starts, counts) + np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+        dictionary = sorted(rank)
+        place = np.empty(len(rank), dtype=np.int32)
+        place[[rank[w] for w in dictionary]] = np.arange(len(rank), dtype=np.int32)
+        flat = place[flat]
         order = np.argsort(flat, kind="stable")
-        flat, where = flat[order], where[order].astype("<u4")
-        terms, offsets = np.unique(flat, return_index=True)
-        delta = np.diff(where, prepend=np.uint32(0))  # wraps at each list's first posting, and unwraps by summing
-        none = np.array([i is None for i in ids])
-        return {"doc_ids": _pack(np.array([i or 0 for i in ids], "<i8")) + none.tobytes(), "hashes": np.array(hashes, "<i8").tobytes(), "starts": _pack(starts.astype("<i8")), "terms": _pack(terms.astype("<i4")), "offsets": _pack(np.append(offsets, len(flat)).astype("<i8")), "postings": _pack(delta), "n_words": _pack(np.array(counts, "<i8")), "n_null": len(ids)}
+        where = where[order].astype("<u4")
+        each = np.bincount(flat, minlength=len(rank))
+        ends = np.cumsum(each)
+        # A run ends at the first term beyond every RUN postings.
+        last = np.unique(np.append(np.searchsorted(ends, np.arange(RUN, len(flat), RUN)) + 1, len(rank))) if len(rank) else np.empty(0, np.int64)
+        edges = np.append(0, ends[last - 1]).tolist()
+        lists = [_pack(np.diff(where[a:b], prepend=np.uint32(0))) for a, b in zip(edges, edges[1:], strict=False)]  # steps wrap at a list's first posting, and unwrap by summing
+        numbers = {"doc_ids": np.array([i or 0 for i in ids], "<i8"), "no_id": np.array([i is None for i in ids], "u1"), "hashes": np.array(hashes, "<i8"), "starts": starts.astype("<i8"), "n_words": counts, "counts": each.astype("<u4"), "runs": last.astype("<i4")}
+        return {k: _pack(v) for k, v in numbers.items()} | {"segment": number, "terms": zstandard.ZstdCompressor(level=1).compress(b"\n".join(dictionary)), "postings": lists}
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = known.value.get
-        ids, hashes, counts, found, total = [], [], [], [], 0
+        from pyspark import TaskContext
+
+        task, numbers = TaskContext.get().partitionId(), itertools.count()
+        fresh = lambda: ([], [], defaultdict(itertools.count().__next__), [])
+        (ids, hashes, rank, found), total = fresh(), 0
+        names = [f.split()[0] for f in SEGMENTS.split(", ")]
 
         def flush() -> pa.RecordBatch:
-            row = segment(ids, hashes, counts, found)
-            return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64() if k == "n_null" else pa.binary()) for k, v in row.items()})
+            row = pack_segment(task << 32 | next(numbers), ids, hashes, rank, found)
+            kinds = {"segment": pa.int64(), "postings": pa.list_(pa.binary())}
+            return pa.RecordBatch.from_arrays([pa.array([row[k]], kinds.get(k, pa.binary())) for k in names], names=names)
 
         for batch in batches:
             for i, th, text in zip(batch["id"].to_pylist(), batch["th"].to_pylist(), batch["body"], strict=True):
                 w = words(text.as_py())
                 ids.append(i)
                 hashes.append(th)
-                counts.append(len(w))
-                found.append(np.fromiter((number(x, -1) for x in w), dtype=np.int32, count=len(w)))
+                found.append(np.fromiter(map(rank.__getitem__, w), dtype=np.int32, count=len(w)))
                 total += len(w)
                 if total >= segment_words:
                     yield flush()
-                    ids, hashes, counts, found, total = [], [], [], [], 0
+                    (ids, hashes, rank, found), total = fresh(), 0
         if ids:
             yield flush()
 
@@ -137,17 +161,36 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], path: str, *, id_
     return materialize(own.mapInArrow(build, SEGMENTS), path)
 
 
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index that was written before."""
+    return spark.read.schema(SEGMENTS).parquet(path)
+
+
 class Segment:
-    """One segment's lists, and searches over them."""
+    """One segment's lists of some terms, by the numbers that ``vocabulary`` gives them, and searches over them."""
+
+    def __init__(self, row: dict, vocabulary: dict[bytes, int]):
+        import zstandard
 
-    def __init__(self, row: dict):
-        n = row["n_null"]
-        self.doc_ids = _unpack(row["doc_ids"][: len(row["doc_ids"]) - n], "<i8")
-        self.no_id = np.frombuffer(row["doc_ids"][len(row["doc_ids"]) - n :], dtype=bool)
+        self.doc_ids, self.no_id, self.hashes = _unpack(row["doc_ids"], "<i8"), _unpack(row["no_id"], "u1").astype(bool), _unpack(row["hashes"], "<i8")
         self.starts, self.n_words = _unpack(row["starts"], "<i8"), _unpack(row["n_words"], "<i8")
-        self.terms, self.offsets = _unpack(row["terms"], "<i4"), _unpack(row["offsets"], "<i8")
-        self.postings = np.cumsum(_unpack(row["postings"], "<u4"), dtype=np.uint32).astype(np.int64)
-        self.size = int(self.starts[-1] + self.n_words[-1]) + 1 if n else 1
+        self.size = int(self.starts[-1] + self.n_words[-1]) + 1 if len(self.starts) else 1
+        dictionary = zstandard.ZstdDecompressor().decompress(row["terms"]).split(b"\n")
+        number = np.fromiter((vocabulary.get(w, -1) for w in dictionary), dtype=np.int64, count=len(dictionary))
+        here = np.flatnonzero(number >= 0)
+        counts, runs = _unpack(row["counts"], "<u4").astype(np.int64), _unpack(row["runs"], "<i4")
+        ends = np.cumsum(counts)
+        lists = []
+        for run in np.unique(np.searchsorted(runs, here, side="right")).tolist():
+            first = runs[run - 1] if run else 0
+            own = here[(here >= first) & (here < runs[run])]
+            base = ends[first] - counts[first]
+            places = np.cumsum(_unpack(row["postings"][run], "<u4"), dtype=np.uint32).astype(np.int64)
+            lists += [(int(number[t]), places[ends[t] - counts[t] - base : ends[t] - base]) for t in own.tolist()]
+        lists.sort(key=lambda x: x[0])
+        self.terms = np.array([t for t, _ in lists], dtype=np.int64)
+        self.offsets = np.cumsum([0, *(len(p) for _, p in lists)])
+        self.postings = np.concatenate([p for _, p in lists]) if lists else np.empty(0, np.int64)
         # Term and position in one key: the postings are in ascending order of it.
         self.keys = np.repeat(np.arange(len(self.terms), dtype=np.int64), np.diff(self.offsets)) * self.size + self.postings
 
@@ -205,45 +248,60 @@ class Segment:
         return phrase, where
 
 
-def search(index: DataFrame, blocks: list[Block], names: dict[int, object], *, slop: int | None = None) -> DataFrame:
-    """Per document: doc_id, text_hash (xxhash64 of the text), n_words, n_hit (words inside an exact occurrence), items (sorted as strings), and
-    near_items: items with a phrase all of whose terms are within ``slop`` words of its rarest one (null without ``slop``)."""
-    spark = index.sparkSession
-    held = [spark.sparkContext.broadcast(b) for b in blocks]
-    text = {k: str(v) for k, v in names.items()}
+def _search_block(index: DataFrame, block: Block, text: dict[int, str], slop: int | None, covered: bool) -> DataFrame:
+    """Every document's hits with one block: segment, place, and the columns of ``search``; with ``covered`` also the hit words' places."""
+    held = index.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = held.value
         for batch in batches:
             for row in batch.to_pylist():
-                s = Segment(row)
+                s = Segment(row, block.vocabulary)
                 cover = np.zeros(s.size + 1, dtype=np.int32)
                 items: list[set[int]] = [set() for _ in s.doc_ids]
                 near: list[set[int]] = [set() for _ in s.doc_ids]
-                for handle in held:
-                    block = handle.value
-                    phrase, start = s.exact(block)
-                    np.add.at(cover, start, 1)
-                    np.add.at(cover, start + block.lengths[phrase], -1)
-                    doc = np.searchsorted(s.starts, start, side="right") - 1
+                phrase, start = s.exact(block)
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + block.lengths[phrase], -1)
+                doc = np.searchsorted(s.starts, start, side="right") - 1
+                for d, p in {*zip(doc.tolist(), phrase.tolist(), strict=True)}:
+                    items[d].update(block.items[p])
+                if slop is not None:
+                    phrase, where = s.near(block, slop)
+                    doc = np.searchsorted(s.starts, where, side="right") - 1
                     for d, p in {*zip(doc.tolist(), phrase.tolist(), strict=True)}:
-                        items[d].update(block.items[p])
-                    if slop is not None:
-                        phrase, where = s.near(block, slop)
-                        doc = np.searchsorted(s.starts, where, side="right") - 1
-                        for d, p in {*zip(doc.tolist(), phrase.tolist(), strict=True)}:
-                            near[d].update(block.items[p])
-                hit = np.append(0, np.cumsum(np.cumsum(cover) > 0))
+                        near[d].update(block.items[p])
+                inside = np.cumsum(cover) > 0
+                hit = np.append(0, np.cumsum(inside))
                 n_hit = hit[s.starts + s.n_words] - hit[s.starts]
                 listed = lambda sets: pa.array([sorted(text[i] for i in x) for x in sets], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids, pa.int64(), mask=s.no_id), "text_hash": pa.array(np.frombuffer(row["hashes"], "<i8")), "n_words": pa.array(s.n_words), "n_hit": pa.array(n_hit.astype(np.int64)), "items": listed(items), "near_items": listed(near) if slop is not None else pa.nulls(len(near), pa.list_(pa.string()))})
+                places = [np.flatnonzero(inside[a : a + n]).tolist() if h else [] for a, n, h in zip(s.starts.tolist(), s.n_words.tolist(), n_hit.tolist(), strict=True)] if covered else [None] * len(items)
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([row["segment"]] * len(items), pa.int64()), "place": pa.array(range(len(items)), pa.int32()), "doc_id": pa.array(s.doc_ids, pa.int64(), mask=s.no_id), "text_hash": pa.array(s.hashes), "n_words": pa.array(s.n_words), "n_hit": pa.array(n_hit.astype(np.int64)), "items": listed(items), "near_items": listed(near) if slop is not None else pa.nulls(len(near), pa.list_(pa.string())), "covered": pa.array(places, pa.list_(pa.int32()))})
+
+    return index.mapInArrow(run, "segment long, place int, doc_id long, text_hash long, n_words long, n_hit long, items array<string>, near_items array<string>, covered array<int>")
+
 
-    return index.mapInArrow(run, "doc_id long, text_hash long, n_words long, n_hit long, items array<string>, near_items array<string>")
+def search(index: DataFrame, blocks: list[Block], names: dict[int, object], *, slop: int | None = None) -> DataFrame:
+    """Per document: doc_id, text_hash (xxhash64 of the text), n_words, n_hit (words inside an exact occurrence), items (sorted as strings), and
+    near_items: items with a phrase all of whose terms are within ``slop`` words of its rarest one (null without ``slop``)."""
+    text = {k: str(v) for k, v in names.items()}
+    blocks = blocks or [Block({}, np.full((0, 1), -1, np.int32), np.empty(0, np.int64), [])]
+    columns = ["doc_id", "text_hash", "n_words", "n_hit", "items", "near_items"]
+    parts = [_search_block(index, b, text, slop, len(blocks) > 1) for b in blocks]
+    if len(parts) == 1:
+        return parts[0].select(*columns)
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    done = functools.reduce(DataFrame.unionByName, parts).groupBy("segment", "place").agg(
+        F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"), F.size(every("covered")).cast("long").alias("n_hit"),
+        every("items").alias("items"), (every("near_items") if slop is not None else F.first("near_items")).alias("near_items"),
+    )
+    return done.select(*columns)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int | None = None, block_phrases: int = 50_000) -> DataFrame:
-    """Index the documents for the benchmark's terms and search all its phrases."""
-    vocabulary, blocks, names = read_benchmark(items, id_col=item_id_col, text_col=item_text_col, window=window, block_phrases=block_phrases)
-    index = build_index(docs, vocabulary, f"{out_dir}/index", id_col=id_col, text_col=text_col, gap=max(window, slop or 0) + 1)
+    """Index the documents and search all phrases of the benchmark."""
+    blocks, names = read_benchmark(items, id_col=item_id_col, text_col=item_text_col, window=window, block_phrases=block_phrases)
+    index = build_index(docs, f"{out_dir}/index", id_col=id_col, text_col=text_col, gap=max(window, slop or 0) + 1)
     return search(index, blocks, names, slop=slop)
 
 

@@ -265,18 +265,42 @@ def test_phrases(spark, out_dir):
     docs = [(k, draw(30)) for k in range(20)] + [(50, "x " + items[0][1].upper() + ". y"), (51, None), (52, ""), (None, items[1][1]), (50, "q")]
     d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, n_words int")
     b = spark.createDataFrame(items, "item_id long, text string")
-    for blocks, segment in ((50_000, 500_000), (3, 40)):
-        vocabulary, parts, names = phrase_index.read_benchmark(b, id_col="item_id", text_col="text", window=10, block_phrases=blocks)
-        index = phrase_index.build_index(d, vocabulary, f"{out_dir}/{blocks}", segment_words=segment)
-        got = phrase_index.search(index, parts, names).collect()
-        key = lambda r: (none_first(r[0]), r[1:])
+    key = lambda r: (none_first(r[0]), r[1:])
+    for n, segment in ((50_000, 500_000), (3, 40)):
+        index = phrase_index.build_index(d, f"{out_dir}/{n}", segment_words=segment)
+        blocks, names = phrase_index.read_benchmark(b, id_col="item_id", text_col="text", window=10, block_phrases=n)
+        assert len(blocks) == 1 if n > 3 else len(blocks) > 2
+        got = phrase_index.search(index, blocks, names).collect()
         assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=key) == sorted(brute_phrases(docs, items), key=key)
+    # the index knows nothing of a benchmark: another one, with other words, is searched in the same files
+    other = [(7, "Q. y"), (8, "of the"), (9, draw(12))]
+    blocks, names = phrase_index.read_benchmark(spark.createDataFrame(other, "item_id long, text string"), id_col="item_id", text_col="text", window=10, block_phrases=100)
+    got = phrase_index.search(phrase_index.open_index(spark, f"{out_dir}/3"), blocks, names).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=key) == sorted(brute_phrases(docs, other), key=key)
     left = phrase_index.drop_contaminated(d, b.filter("item_id = 10"), f"{out_dir}/drop")
     assert left.count() == sum(not x[3] for x in brute_phrases(docs, [items[1]])) and left.columns == d.columns
     assert phrase_index.decontaminate(d, b.limit(0), f"{out_dir}/nob").filter("n_hit > 0").count() == 0
     assert phrase_index.decontaminate(d.limit(0), b, f"{out_dir}/nod").count() == 0
 
 
+def test_every_posting_is_stored_once(spark, out_dir, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"t{int(x)}" for x in np.minimum(rng.zipf(1.3, 700), 900)) for _ in range(40)] + ["the " * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = [r.asDict() for r in phrase_index.build_index(docs, out_dir, segment_words=20_000).collect()]
+    assert len(rows) > 1 and max(len(r["postings"]) for r in rows) > 1
+    found = {}
+    for r in rows:
+        every = {f"t{k}".encode(): k for k in range(901)} | {b"the": 901}
+        s = phrase_index.Segment(r, every)
+        doc = np.searchsorted(s.starts, s.postings, side="right") - 1
+        for t, d, p in zip(np.repeat(s.terms, np.diff(s.offsets)).tolist(), doc.tolist(), s.postings.tolist(), strict=True):
+            assert found.setdefault((int(s.doc_ids[d]), p - int(s.starts[d])), t) == t
+        some = phrase_index.Segment(r, {b"t3": 0, b"the": 1, b"never": 2})
+        assert set(some.terms.tolist()) <= {0, 1}
+    assert found == {(i, k): int(w[1:]) if w != "the" else 901 for i, t in enumerate(texts) for k, w in enumerate(t.split())}
+
+
 def test_proximity(spark, out_dir):
     d = spark.createDataFrame([(1, "alpha x x beta x gamma"), (2, "gamma beta alpha"), (3, "alpha beta"), (4, "alpha x x x x x x beta gamma"), (5, "alpha"), (6, "beta gamma")], "doc_id long, text string")
     b = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
