@@ -8,8 +8,8 @@ class representative. The join finds all pairs of representatives with Jaccard s
   ranges borrowing from others. Two sets share a coordinate with a chance equal to their similarity.
 * A run splits the sets recursively. A node picks one or two coordinates, by a hash of its path, and sends each set on by its
   token there; so a pair stays together with a known chance, whatever the data. Nodes with at most
-  ``bucket`` sets are compared by brute force, larger ones are split again down to ``depth``, and those left large are compared block
-  by block. Runs are repeated until a pair at the threshold is found with the target recall.
+  ``bucket`` sets are compared by brute force, larger ones are split again down to ``depth``. Sets of a node are compared in blocks of ``cell``, each pair of blocks by
+  itself, so that tasks are even. Runs are repeated until a pair at the threshold is found with the target recall.
 * Comparing sketches links sets that may be similar (four standard errors below the threshold); linked sets
   are one candidate group. All sets of a group are then compared exactly, in blocks of ``block`` sets, on their real tokens: that gives each
   set's links and, from these, the classes.
@@ -267,7 +267,7 @@ def _sketch_links(buckets: DataFrame, threshold: float) -> DataFrame:
     return _by_group(buckets, ["node", "bi", "bj"], work, "a binary, b binary", most=10_000)
 
 
-def candidate_links(reps: DataFrame, path: str, *, threshold: float, recall: float, depth: int, bucket: int) -> DataFrame:
+def candidate_links(reps: DataFrame, path: str, *, threshold: float, recall: float, depth: int, bucket: int, cell: int) -> DataFrame:
     """Links between sets that share a small node in some run and have similar sketches."""
     runs = runs_for(recall, threshold, depth)
     front = materialize(_descend(reps.select("key", "sketch"), _roots(runs), 2), f"{path}/level-2")
@@ -276,7 +276,7 @@ def candidate_links(reps: DataFrame, path: str, *, threshold: float, recall: flo
         sizes = materialize(front.groupBy("node").agg(F.count("*").alias("pw_n")).filter("pw_n > 1"), f"{path}/sizes-{level}")
         last = level >= depth
         ready = sizes if last else sizes.filter(F.col("pw_n") <= bucket)
-        small.append(_in_blocks(front.select("node", "key"), "node", ready, bucket))
+        small.append(_in_blocks(front.select("node", "key"), "node", ready, cell))
         if last:
             break
         large = front.join(sizes.filter(F.col("pw_n") > bucket).select("node"), "node", "left_semi")
@@ -345,14 +345,14 @@ def _tokens(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "root binary, key binary, copies long, tokens binary")
 
 
-def classify(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 6, bucket: int = 1024, block: int = 512) -> DataFrame:
+def classify(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 6, bucket: int = 1024, cell: int = 256, block: int = 512) -> DataFrame:
     """(id, th, key, class_id, n_links, rep_id, rep_th) of each document, rep_id and rep_th naming the document that stands for its
     class; ids that were null are NO_ID."""
     sigs = materialize(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle), f"{out_dir}/signatures")
     has = sigs.filter("key IS NOT NULL")
     reps = has.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th")).alias("row"), F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = materialize(reps, f"{out_dir}/representatives")
-    links = materialize(candidate_links(reps, f"{out_dir}/paths", threshold=threshold, recall=recall, depth=depth, bucket=bucket), f"{out_dir}/candidates")
+    links = materialize(candidate_links(reps, f"{out_dir}/paths", threshold=threshold, recall=recall, depth=depth, bucket=bucket, cell=cell), f"{out_dir}/candidates")
     discard(docs.sparkSession, f"{out_dir}/paths")
     groups = components(links, f"{out_dir}/groups")
     # The groups' texts: one row for each set, found by its first document and that one's text hash.

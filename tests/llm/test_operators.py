@@ -771,7 +771,7 @@ def test_near_copies(spark, out_dir):
     docs = spark.createDataFrame([(*r, 1, "n") for r in rows], "doc_id long, text string, key int, node string")
     key = lambda r: tuple(map(none_first, r))
     want = sorted(brute_near(rows), key=key)
-    for options in ({}, {"bucket": 2, "block": 3, "depth": 3}):
+    for options in ({}, {"bucket": 2, "cell": 2, "block": 3, "depth": 3}):
         got = chosen_path.near_duplicates(docs, f"{out_dir}/{len(options)}", **options).collect()
         assert sorted((tuple(r) for r in got), key=key) == want
     kept = chosen_path.keep_one(docs, f"{out_dir}/keep").collect()
