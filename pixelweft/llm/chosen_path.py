@@ -370,6 +370,8 @@ def classify(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col:
     # The document that stands for a class: the smallest id that isn't null, if any.
     known = F.struct((F.col("row.id") == NO_ID).alias("none"), F.col("row.id").alias("id"), F.col("row.th").alias("th"))
     heads = materialize(sets.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min(known).alias("head")), f"{out_dir}/heads")
+    for part in ("representatives", "candidates", "groups", "sizes", "links", "classes"):
+        discard(docs.sparkSession, f"{out_dir}/{part}")
     done = sets.select("key", "n_links", "root").join(heads, "root").select("key", "n_links", "class_id", F.col("head.id").alias("rep_id"), F.col("head.th").alias("rep_th"))
     known_id = F.when(F.col("id") != NO_ID, F.col("id"))
     rows = sigs.select("id", "th", "key").join(done, "key", "left")
@@ -387,6 +389,8 @@ def keep_one(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col:
     done = classify(docs, out_dir, id_col=id_col, text_col=text_col, **options)
     stays = materialize(done.filter("key IS NOT NULL").select(F.col("rep_id").alias("pw_id"), F.col("rep_th").alias("pw_th")).distinct(), f"{out_dir}/stays")
     wordless = materialize(done.filter("key IS NULL").select(F.col("id").alias("pw_id"), F.col("th").alias("pw_th")).distinct(), f"{out_dir}/wordless")
+    for part in ("signatures", "sets", "heads"):
+        discard(docs.sparkSession, f"{out_dir}/{part}")
     text = F.col(text_col).cast("string")
     rows = docs.withColumn("pw_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("pw_th", F.xxhash64(text))
     kept = rows.join(stays, ["pw_id", "pw_th"], "left_semi").dropDuplicates(["pw_id", "pw_th"])

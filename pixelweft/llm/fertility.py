@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweft.llm.common import worker_memo
-from pixelweft.runtime import materialize
+from pixelweft.runtime import discard, materialize
 
 WINDOW = 5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -263,4 +263,5 @@ def keep_good(docs: DataFrame, model_path: str, out_dir: str, *, bands: Bands =
     own = docs.select(text.alias("pw_body"), lang.alias("pw_lang_in"), *[v.alias(k) for k, v in key.items()])
     bad = judge(own, model_path, out_dir, bands=bands, text_col="pw_body", lang_col="pw_lang_in").filter(~F.col("pw_kept")).select(*key).distinct()
     bad = materialize(bad, f"{out_dir}/rejected")
+    discard(docs.sparkSession, f"{out_dir}/measured")
     return docs.withColumns(key).join(bad, list(key), "left_anti").drop(*key)

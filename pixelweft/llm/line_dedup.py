@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweft.runtime import materialize
+from pixelweft.runtime import discard, materialize
 
 BLANKS = " \t\r\x0b\x0c"
 #: Boilerplate lines that a broadcast may hold: at most some 4 MB.
@@ -69,6 +69,8 @@ def drop_boilerplate(pages: DataFrame, out_dir: str, *, host_col: str = "source"
     lists = materialize(found.groupBy("pw_host").agg(F.collect_list(F.struct("a", "b")).alias("pw_bad")), f"{out_dir}/lists")
     if found.count() <= BROADCAST_LINES:
         lists = F.broadcast(lists)
+    for part in ("hosts", "boilerplate"):
+        discard(pages.sparkSession, f"{out_dir}/{part}")
     marked = pages.withColumn("pw_host", host_key(F.col(host_col))).join(lists, "pw_host", "left").drop("pw_host")
     text = F.col(text_col).cast("string")
     left = F.when(F.col("pw_bad").isNull(), lines_of(text)).otherwise(F.filter(lines_of(text), lambda x: ~(has_content(x) & F.array_contains(F.col("pw_bad"), line_key(x)))))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweft.llm.common import LOWER_ASCII
-from pixelweft.runtime import materialize
+from pixelweft.runtime import discard, materialize
 
 #: A word, over UTF-8 bytes after lower-casing A-Z: the bytes outside these ASCII ranges.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -309,4 +309,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, out_dir: str, *, text_c
     """The rows of ``docs`` that hold no phrase of the benchmark. A text is known again by its hash."""
     found = decontaminate(docs, items, out_dir, text_col=text_col, **options)
     bad = materialize(found.filter("n_hit > 0").select(F.col("text_hash").alias("pw_th")).distinct(), f"{out_dir}/contaminated")
+    discard(docs.sparkSession, f"{out_dir}/index")
     return docs.withColumn("pw_th", F.xxhash64(F.col(text_col).cast("string"))).join(bad, "pw_th", "left_anti").drop("pw_th")

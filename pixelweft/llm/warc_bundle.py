@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweft.llm.common import open_output
-from pixelweft.runtime import make_folder, materialize
+from pixelweft.runtime import discard, make_folder, materialize
 
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX_ROW = struct.Struct("<qIII")
@@ -181,7 +181,9 @@ def write_bundles(pages: DataFrame, out_dir: str, *, id_col: str = "page_id", ur
             yield flush()
 
     index = rows.select("id", "uri", "body", "origin").mapInArrow(write, "file string, page_id long, frame int, frame_offset long, offset long, length long")
-    return materialize(index, f"{out_dir}/index")
+    index = materialize(index, f"{out_dir}/index")
+    discard(pages.sparkSession, f"{out_dir}/origins")
+    return index
 
 
 def read_bundles(spark: SparkSession, out_dir: str) -> DataFrame:
