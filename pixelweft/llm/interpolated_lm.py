@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweft.llm.common import LOWER_ASCII
+from pixelweft.llm.common import LOWER_ASCII, release_memory
 from pixelweft.runtime import discard, materialize
 
 END = b" end of text"
@@ -91,6 +91,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers and each one's place among them, in 32 bits: a block, or a range's messages, are bounded."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.append(True, x[1:] != x[:-1]) if len(x) else np.empty(0, bool)
+    place = np.empty(len(x), dtype=np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], place
+
+
 @dataclass
 class Block:
     """Documents as numbers: ids, folds, token counts, the block's distinct words (hashes) and the tokens as places
@@ -121,7 +131,7 @@ class Block:
         mask = np.uint64(((1 << width) - 1) << (64 - width))
         first = np.cumsum(self.lengths) - self.lengths
         with np.errstate(over="ignore"):
-            words, place = np.unique(_mix(self.hashes), return_inverse=True)
+            words, place = _distinct(_mix(self.hashes))
             yield words, place[self.stream]
             word = _mix(self.hashes + np.uint64(0x9E3779B97F4A7C15))[self.stream]
             end = _mix(self.hashes[:1] + np.uint64(0x9E3779B97F4A7C15))
@@ -130,8 +140,8 @@ class Block:
                 before = np.concatenate([start, gram[:-1]])
                 before[first] = start
                 gram, start = _mix(before * np.uint64(2 * k - 1) + word), _mix(start * np.uint64(2 * k - 1) + end)
-                keys, place = np.unique(gram & mask, return_inverse=True)
-                yield keys, place
+                del before
+                yield _distinct(gram & mask)
 
 
 BLOCK = "ids binary, no_id binary, folds binary, lengths binary, hashes binary, stream binary"
@@ -217,6 +227,8 @@ def _send(units: DataFrame, read, level: int, groups: int, width: int, bits: int
                         message = _write_message([tuple(a[x] for a in own) for own, x in zip(lists, spans, strict=True)], width)
                         values = ((scope << bits) | part, grp, scope, unit)
                         yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int64()) for v in values), pa.array([message], pa.binary())], names=["cell", "grp", "scope", "unit", "message"])
+                del lists
+                release_memory()
 
     return units.mapInArrow(run, "cell long, grp long, scope long, unit long, message binary")
 
@@ -226,31 +238,31 @@ def _merge(messages: list, order: int, width: int, level: int) -> Iterator[tuple
     which entries have a count in the deleted fold."""
     parts = [_read_message(m, order, width, level) for m in messages]
     for k in range(order):
-        keys, place = np.unique(np.concatenate([p[k][0] for p in parts]), return_inverse=True)
+        keys, place = _distinct(np.concatenate([p[k][0] for p in parts]))
         cut = np.concatenate([p[k][2] for p in parts])
         totals = [np.bincount(place, weights=w, minlength=len(keys)).astype("<u8") for w in (np.concatenate([p[k][1] for p in parts]), cut)]
         yield keys, totals, place, np.cumsum([0, *(len(p[k][0]) for p in parts)]).tolist(), cut > 0
 
 
-def _answer(rows: list[dict], totals: list[list[np.ndarray]], merged: list) -> list[bytes]:
-    """The totals for each message's entries; those of the deleted fold only where the message has some."""
+def _answer(rows: list[dict], totals: list[list[np.ndarray]], merged: list) -> list[list[bytes]]:
+    """The totals for each message's entries by order; those of the deleted fold only where the message has some."""
     out = []
     for i in range(len(rows)):
-        flat = []
+        frames = []
         for (train, cut), (_, _, place, ends, marked) in zip(totals, merged, strict=True):
             own = slice(ends[i], ends[i + 1])
-            flat += [train[place[own]], cut[place[own][marked[own]]]]
-        out.append(_pack(*flat))
+            frames.append(_pack(train[place[own]], cut[place[own][marked[own]]]))
+        out.append(frames)
     return out
 
 
-ANSWER = "scope long, unit long, cell long, answer binary, n long, v long, n_deleted long"
+ANSWER = "scope long, unit long, cell long, answer array<binary>, n long, v long, n_deleted long"
 
 
-def _answers(rows: list[dict], answers: list[bytes], stats: tuple[int, int, int] = (0, 0, 0)) -> pa.Table:
+def _answers(rows: list[dict], answers: list[list[bytes]], stats: tuple[int, int, int] = (0, 0, 0)) -> pa.Table:
     first = lambda v: pa.array([v] + [0] * (len(rows) - 1), pa.int64())
     keys = {c: pa.array([r[c] for r in rows], pa.int64()) for c in ("scope", "unit", "cell")}
-    return pa.table(keys | {"answer": pa.array(answers, pa.binary()), "n": first(stats[0]), "v": first(stats[1]), "n_deleted": first(stats[2])})
+    return pa.table(keys | {"answer": pa.array(answers, pa.list_(pa.binary())), "n": first(stats[0]), "v": first(stats[1]), "n_deleted": first(stats[2])})
 
 
 def exchange(units: DataFrame, read, count: int, path: str, *, order: int, width: int, fan: int, bits: int = BITS, level: int = 0) -> DataFrame:
@@ -262,7 +274,10 @@ def exchange(units: DataFrame, read, count: int, path: str, *, order: int, width
         rows = sorted(table.to_pylist(), key=lambda r: (r["scope"], r["unit"]))
         merged = list(_merge([r["message"] for r in rows], order, width, level))
         train, cut = merged[0][1]
-        return _answers(rows, _answer(rows, [m[1] for m in merged], merged), (int(train.sum()), int((train > 0).sum()), int(cut.sum())))
+        done = _answers(rows, _answer(rows, [m[1] for m in merged], merged), (int(train.sum()), int((train > 0).sum()), int(cut.sum())))
+        del rows, merged, train, cut
+        release_memory()
+        return done
 
     if groups == 1:
         return _send(units, read, level, 1, width, bits).groupBy("cell").applyInArrow(add, ANSWER)
@@ -280,7 +295,7 @@ def exchange(units: DataFrame, read, count: int, path: str, *, order: int, width
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
         merged = list(_merge([r["message"] for r in rows], order, width, level))
-        got = _gathered(right, order)
+        got = _by_cell(right)
         return _answers(rows, _answer(rows, [_totals(got, k, m[1][1] > 0) for k, m in enumerate(merged)], merged))
 
     united = materialize(_send(units, read, level, groups, width, bits).groupBy("cell", "grp").applyInArrow(unite, "scope long, unit long, lists binary"), f"{path}/level-{level + 1}")
@@ -294,17 +309,18 @@ def exchange(units: DataFrame, read, count: int, path: str, *, order: int, width
     return down.unionByName(total)
 
 
-def _gathered(answers: pa.Table, order: int) -> list[list[np.ndarray]]:
+def _by_cell(answers: pa.Table) -> list[list[bytes]]:
     """A unit's answers, range after range."""
-    return [_unpack_all(a, *["<u8"] * (2 * order)) for _, a in sorted(zip(answers["cell"].to_pylist(), answers["answer"].to_pylist(), strict=True), key=lambda x: x[0])]
+    return [a for _, a in sorted(zip(answers["cell"].to_pylist(), answers["answer"].to_pylist(), strict=True), key=lambda x: x[0])]
 
 
-def _totals(got: list[list[np.ndarray]], k: int, marked: np.ndarray) -> list[np.ndarray]:
+def _totals(answers: list[list[bytes]], k: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Total counts of a unit's entries of one order. ``marked`` are those that have a count of the unit's own in the deleted fold."""
-    train, some = (np.concatenate([g[2 * k + j] for g in got]) if got else np.empty(0, "<u8") for j in (0, 1))
+    got = [_unpack_all(a[k], "<u8", "<u8") for a in answers]
+    train, some = (np.concatenate([g[j] for g in got]) if got else np.empty(0, "<u8") for j in (0, 1))
     cut = np.zeros(len(marked), "<u8")
     cut[marked] = some
-    return [train, cut]
+    return train, cut
 
 
 def _read_block(held_out: int, deleted: int, order: int, width: int):
@@ -344,25 +360,33 @@ def _contexts(counts: list[np.ndarray], place: np.ndarray, of_end: int) -> list[
 
 def _resolve(blocks: DataFrame, answers: DataFrame, deleted: int, order: int, width: int) -> DataFrame:
     """Each block with its tokens' counts by order, and for the tokens of the deleted fold the counts without that fold: of n-grams and of their contexts."""
-    schema = "ids binary, no_id binary, folds binary, lengths binary, counts binary, of_end long, held binary"
+    schema = "ids binary, no_id binary, folds binary, lengths binary, counts array<binary>, of_end long, held binary"
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         b = Block.of(row)
         mine = np.repeat(b.folds, b.lengths) == deleted
-        got, counts, less, ends = _gathered(right, order), [], [], []
+        at, place_in = np.flatnonzero(mine), b.places()[mine]
+        got, counts, num, den, of_end = _by_cell(right), [], [], [], 0
         for k, (keys, place) in enumerate(b.keys(order, width)):
             total, cut = _totals(got, k, np.bincount(place[mine], minlength=len(keys)) > 0)
-            counts.append(total[place])
-            total = total - cut
-            less.append(total[place])
+            counts.append(_pack(total[place]))
+            left_over = total - cut
+            num.append(left_over[place[at]])
+            before = left_over[place[at - (place_in > 0)]]  # a document's first token has no place before it
             if k == 0:
                 end = int(np.searchsorted(keys, _mix(b.hashes[:1])[0]))
-                ends = [int(counts[0][place == end][0]), int(total[end])]
-            del keys, place, total, cut
-        held = [h[mine] for h in less + _contexts(less, b.places(), ends[1])]
+                of_end = int(total[end])
+                before[place_in == 0] = left_over[end]
+            else:
+                before[place_in < k] = 0
+            den.append(before)
+            del keys, place, total, cut, left_over
         values = {c: pa.array([row[c]], pa.binary()) for c in ("ids", "no_id", "folds", "lengths")}
-        return pa.table(values | {"counts": pa.array([_pack(*counts)], pa.binary()), "of_end": pa.array([ends[0]], pa.int64()), "held": pa.array([_pack(*held)], pa.binary())})
+        done = pa.table(values | {"counts": pa.array([counts], pa.list_(pa.binary())), "of_end": pa.array([of_end], pa.int64()), "held": pa.array([_pack(*num, *den[:-1])], pa.binary())})
+        del b, got, num, den, row
+        release_memory()
+        return done
 
     own = answers.filter("unit >= 0").select("unit", "cell", "answer")
     return blocks.groupBy("block").cogroup(own.groupBy("unit")).applyInArrow(join, schema)
@@ -451,7 +475,7 @@ def train_and_score(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", te
             for row in batch.to_pylist():
                 ids, none = _unpack(row["ids"], "<i8"), _unpack(row["no_id"], "u1").astype(bool)
                 folds, lengths = _unpack(row["folds"], "u1"), _unpack(row["lengths"], "<i8")
-                counts = [c.astype(np.float64) for c in _unpack_all(row["counts"], *["<u8"] * order)]
+                counts = [_unpack(c, "<u8").astype(np.float64) for c in row["counts"]]
                 at = np.cumsum(lengths) - lengths
                 place = np.arange(len(counts[0])) - np.repeat(at, lengths)
                 p = _mixed(counts, _contexts(counts, place, row["of_end"]), weights, n, v)

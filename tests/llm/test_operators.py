@@ -349,7 +349,7 @@ def lm_prob(t, j, counts, weights, order):
     return p
 
 
-@pytest.mark.parametrize(("order", "options"), [(3, {}), (4, {"block_tokens": 30, "fan": 2, "bits": 2})])
+@pytest.mark.parametrize(("order", "options"), [(3, {}), (4, {"block_tokens": 100, "fan": 2, "bits": 2})])
 def test_language_model(spark, odd_docs, odd_rows, out_dir, order, options):
     docs, empty = odd_docs
     model = interpolated_lm.train_and_score(docs, out_dir, order=order, **options)
