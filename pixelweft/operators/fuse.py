@@ -34,6 +34,16 @@ def fuse_session(masks: DataFrame, pixels: DataFrame, tie_mode: str = "nearest-s
     return pixels.select(*PIXEL).join(won, list(PIXEL), "left").select(*PIXEL, F.coalesce(F.col("class_id") - 1, F.lit(0)).cast("int").alias("label"))
 
 
+def fuse_slots(masks: DataFrame, pixels: DataFrame, tie_pref: int = 0) -> DataFrame:
+    """``fuse_classes`` for each of three slots and their vote, in two aggregations over the masks of all slots (img, y, x, class_id, slot, fg, dist)."""
+    best = F.max_by("class_id", F.struct(F.col("fg"), -F.col("dist"), -F.col("class_id")))
+    label = F.when(F.max("fg") > 0, best - 1).otherwise(0)
+    fused = masks.groupBy(*PIXEL, "slot").agg(label.alias("label"))
+    wide = fused.groupBy(*PIXEL).agg(*[F.max(F.when(F.col("slot") == k, F.col("label"))).alias(f"v{k}") for k in range(3)])
+    zero = [F.coalesce(f"v{k}", F.lit(0)) for k in range(3)]
+    return pixels.select(*PIXEL).join(wide, list(PIXEL), "left").select(*PIXEL, vote(*zero, tie_pref).cast("int").alias("label"))
+
+
 def vote(a: Column, b: Column, c: Column, tie_pref: int = 0) -> Column:
     """The label that two of three agree on, else the preferred one's."""
     pick = (a, b, c)[tie_pref if tie_pref in (0, 1) else 2]

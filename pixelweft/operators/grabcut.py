@@ -204,7 +204,7 @@ def segment(image: np.ndarray, mask: np.ndarray, models: tuple[Mixture | None, M
 def grabcut(rows: DataFrame, keys: Sequence[str] = ("img", "class_id"), iterations: int = 5) -> DataFrame:
     """Segment groups of (keys, y, x, f0, f1, f2, trimap): gives (keys, y, x, fg, bg_model, fg_model), the models on the
     first pixel only. A group without foreground seeds has no foreground and no model. Groups that bring columns
-    bg_model and fg_model of an earlier run, on any pixel, are evaluated with them for one round."""
+    bg_model and fg_model of an earlier run, on any pixel, go on from them, for as many rounds."""
     import pyspark.sql.functions as F
 
     stored = {"bg_model", "fg_model"} <= set(rows.columns)
@@ -222,8 +222,7 @@ def grabcut(rows: DataFrame, keys: Sequence[str] = ("img", "class_id"), iteratio
         if stored:
             models = [Mixture.of(next((m for m in table[c].to_pylist() if m), None)) for c in ("bg_model", "fg_model")]
         if (mask == FOREGROUND).any():
-            known = all(m is not None for m in models)
-            mask, *models = segment(image, mask, tuple(models), 1 if known else iterations)
+            mask, *models = segment(image, mask, tuple(models), iterations)
             fg = np.isin(mask, (FOREGROUND, MAYBE_FOREGROUND)).astype(np.int32)
         else:
             fg, models = np.zeros(shape, np.int32), [None, None]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweft.operators.features import ensemble_features, features
-from pixelweft.operators.fuse import fuse_classes, majority_vote
+from pixelweft.operators.fuse import fuse_classes, fuse_slots
 from pixelweft.operators.grabcut import grabcut
 from pixelweft.operators.seeds import classes, expand, one_vs_rest, trimap
 from pixelweft.operators.spatial import distance_transform, guided_filter
@@ -51,9 +51,4 @@ def segment_ensemble(pixels: DataFrame, trio: Sequence[str] = DEFAULT_TRIO, tie_
         raise ValueError("an ensemble has exactly three colour spaces")
     feats = ensemble_features(pixels.select(*PIXEL, "r", "g", "b"), trio).drop("space")
     masks = class_masks(pixels, feats, spaces=["slot"], **options)
-    masks = masks.join(scribble_distances(pixels), [*PIXEL, "class_id"])
-    labels = None
-    for slot in range(3):
-        one = fuse_classes(masks.filter(F.col("slot") == slot), pixels).withColumn("slot", F.lit(slot))
-        labels = one if labels is None else labels.unionByName(one)
-    return majority_vote(labels, tie_pref)
+    return fuse_slots(masks.join(scribble_distances(pixels), [*PIXEL, "class_id"]), pixels, tie_pref)

@@ -1,4 +1,4 @@
-"""The pixel relations that the test tables give: 16 x 16 images from runs of 256 events."""
+"""The pixel relations that the test tables give: 16 x 16 images from runs of 256 events, the last one filled up with events of user 0 and value 0."""
 
 from __future__ import annotations
 
@@ -13,9 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame:
     """pixel(img, y, x, r, g, b); with ``extra`` also ann, edge, cost and three vote columns."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    whole = events.count() // 256 * 256
     e = F.col("event_id")
-    out = events.filter(e < whole).select(
+    fill = events.agg(F.count("*").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i")).filter("i < (256 - n % 256) % 256")
+    events = events.unionByName(fill.select((F.col("n") + F.col("i")).alias("event_id"), F.lit(0).cast("long").alias("user_id"), F.lit(0.0).alias("value")))
+    out = events.select(
         F.floor(e / 256).cast("long").alias("img"),
         F.floor((e % 256) / 16).cast("int").alias("y"),
         (e % 16).cast("int").alias("x"),
@@ -41,4 +42,4 @@ PX = """px AS (SELECT CAST(floor(event_id / 256.0) AS BIGINT) AS img, CAST(floor
   (CAST(floor(value * 100 + 0.5) AS BIGINT) % 256) / 255e0 AS edge,
   1e0 + 3e0 * pow((CAST(floor(value * 100 + 0.5) AS BIGINT) % 256) / 255e0, 0.8e0) AS cost,
   CAST(event_id % 3 AS INT) AS vote_a, CAST(user_id % 3 AS INT) AS vote_b, CAST(CAST(floor(value) AS BIGINT) % 3 AS INT) AS vote_c
-  FROM events WHERE event_id < (SELECT count(*) // 256 * 256 FROM events))"""
+  FROM (SELECT event_id, user_id, value FROM events UNION ALL SELECT n + unnest(range((256 - n % 256) % 256)), 0, 0e0 FROM (SELECT count(*) AS n FROM events)) e)"""

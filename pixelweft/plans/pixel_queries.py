@@ -196,18 +196,28 @@ def o51(spark, sf_dir):
 
 
 def stroke_fixture(spark, sf_dir):
-    """Strokes of four points: one for each run of 32 events, a point for every eighth of them."""
+    """Strokes of 32 points: one for each run of 32 events."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
-    p = e.filter("event_id % 8 = 0").select(F.floor(F.col("event_id") / 32).cast("long").alias("s"), "event_id", F.struct((F.col("user_id") * 7 % 20 - 2).cast("int").alias("x"), ((F.col("user_id") * 3 + F.col("event_id")) % 20 - 2).cast("int").alias("y")).alias("p"))
+    p = e.select(F.floor(F.col("event_id") / 32).cast("long").alias("s"), "event_id", F.struct((F.col("user_id") * 7 % 20 - 2).cast("int").alias("x"), ((F.col("user_id") * 3 + F.col("event_id")) % 20 - 2).cast("int").alias("y")).alias("p"))
     g = p.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "p"))), lambda v: v.p).alias("points"))
     return g.select(F.floor(F.col("s") / 8).cast("long").alias("img"), F.col("s").alias("seq"), (1 + F.col("s") % 3).cast("int").alias("class_id"), (1 + F.col("s") % 5).cast("int").alias("brush"), "points")
 
 
-STROKES = """pt AS (SELECT event_id // 32 AS seq, event_id, CAST(user_id * 7 % 20 - 2 AS INT) AS x, CAST((user_id * 3 + event_id) % 20 - 2 AS INT) AS y FROM events WHERE event_id % 8 = 0),
+STROKES = """pt AS (SELECT event_id // 32 AS seq, event_id, CAST(user_id * 7 % 20 - 2 AS INT) AS x, CAST((user_id * 3 + event_id) % 20 - 2 AS INT) AS y FROM events),
  st AS (SELECT seq // 8 AS img, seq, CAST(1 + seq % 3 AS INT) AS class_id, CAST(1 + seq % 5 AS INT) AS brush, list(x ORDER BY event_id) AS xs, list(y ORDER BY event_id) AS ys FROM pt GROUP BY seq)"""
 
 
-@query("o52_rasterise")
+#: A line's cells, one step of every line in each round.
+LINES = f"""{STROKES},
+ sg AS (SELECT img, seq, class_id, brush // 2 AS radius, unnest(range(1, len(xs))) AS part, xs, ys FROM st),
+ se AS (SELECT img, seq, class_id, radius, part, greatest(0, least(15, xs[part])) AS x1, greatest(0, least(15, ys[part])) AS y1, greatest(0, least(15, xs[part + 1])) AS x2, greatest(0, least(15, ys[part + 1])) AS y2 FROM sg),
+ ln AS (SELECT img, seq, class_id, radius, part, 0 AS step, x1 AS x, y1 AS y, x2, y2, abs(x2 - x1) AS dx, abs(y2 - y1) AS dy, abs(x2 - x1) - abs(y2 - y1) AS slack, CASE WHEN x1 < x2 THEN 1 ELSE -1 END AS sx, CASE WHEN y1 < y2 THEN 1 ELSE -1 END AS sy FROM se
+  UNION ALL SELECT img, seq, class_id, radius, part, step + 1, CASE WHEN 2 * slack > -dy THEN x + sx ELSE x END, CASE WHEN 2 * slack < dx THEN y + sy ELSE y END, x2, y2, dx, dy,
+   slack - CASE WHEN 2 * slack > -dy THEN dy ELSE 0 END + CASE WHEN 2 * slack < dx THEN dx ELSE 0 END, sx, sy FROM ln WHERE x <> x2 OR y <> y2),
+ dk AS (SELECT img, seq, part, step, class_id, y + a.i AS y, x + b.i AS x FROM ln, range(-2, 3) a(i), range(-2, 3) b(i) WHERE a.i * a.i + b.i * b.i <= radius * radius AND abs(a.i) <= radius AND abs(b.i) <= radius)"""
+
+
+@query("o52_rasterise", f"WITH RECURSIVE {LINES} SELECT img, y::INT AS y, x::INT AS x, arg_max(class_id, (seq, part, step)) AS ann FROM dk WHERE y BETWEEN 0 AND 15 AND x BETWEEN 0 AND 15 GROUP BY ALL")
 def o52(spark, sf_dir):
     s = stroke_fixture(spark, sf_dir)
     sizes = s.select("img").distinct().withColumns({"h": F.lit(16), "w": F.lit(16)})
@@ -252,6 +262,36 @@ def o62(spark, sf_dir):
     return grabcut(rows.join(models, ["img", "class_id"], "left")).select("img", "class_id", "y", "x", "fg")
 
 
+#: What holds of any cut: seeds of a class belong to it, those of the background and of other classes don't, and a class without seeds has no pixel.
+_KEPT = f"WITH {PX}, {OVR} SELECT img, class_id, count(*) AS n_pixels, count_if(seed_fg) AS fg_kept, 0::BIGINT AS bg_taken FROM ovr GROUP BY img, class_id"
+
+
+def _kept(px, cut):
+    rows = seeds.one_vs_rest(px).select(*PIXEL, "class_id", "seed_fg", "seed_bg").join(cut, [*PIXEL, "class_id"])
+    one = lambda c: F.count_if(F.col(c) & (F.col("fg") == 1))
+    return rows.groupBy("img", "class_id").agg(F.count("*").alias("n_pixels"), one("seed_fg").alias("fg_kept"), one("seed_bg").alias("bg_taken"))
+
+
+@query("o61_grabcut_keeps_seeds", _KEPT)
+def o61_seeds(spark, sf_dir):
+    return _kept(_px(spark, sf_dir), o61(spark, sf_dir))
+
+
+@query("o62_refine_keeps_seeds", _KEPT)
+def o62_seeds(spark, sf_dir):
+    return _kept(_px(spark, sf_dir), o62(spark, sf_dir))
+
+
+@query("o63_labels_are_classes", f"WITH {PX} SELECT img, count(*) AS n_pixels, 0::BIGINT AS n_foreign FROM px GROUP BY img")
+def o63_labels(spark, sf_dir):
+    """Labels of a whole segmentation are 0, or one less than a class that the image's scribbles have."""
+    px = _px(spark, sf_dir)
+    own = seeds.classes(px).groupBy("img").agg(F.collect_set("class_id").alias("own"))
+    rows = o63(spark, sf_dir).join(own, "img", "left")
+    foreign = (F.col("label") != 0) & ~F.coalesce(F.array_contains("own", F.col("label") + 1), F.lit(False))
+    return rows.groupBy("img").agg(F.count("*").alias("n_pixels"), F.count_if(foreign).alias("n_foreign"))
+
+
 @query("o63_one_space_segmentation")
 def o63(spark, sf_dir):
     return segment.segment_single(_px(spark, sf_dir), "oklab", radius=SMALL_RADIUS)

@@ -30,11 +30,11 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                 at = np.arange(h * w)
                 yield pa.RecordBatch.from_pydict({"path": pa.array([row["origin"]] * len(at)), "y": pa.array((at // w).astype(np.int32)), "x": pa.array((at % w).astype(np.int32)), "r": pa.array(r), "g": pa.array(g), "b": pa.array(b)})
 
-    return spark.read.format("image").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, PIXELS)
+    return spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, PIXELS)
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(path, y, x, ann) of .npy files; other kinds of files raise."""
+def read_annotations(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, y, x, ann) of .npy files; other kinds of files that ``glob`` lets through raise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,7 +45,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
                 y, x = np.indices(a.shape, dtype=np.int32)
                 yield pa.RecordBatch.from_pydict({"path": pa.array([path] * a.size), "y": pa.array(y.ravel()), "x": pa.array(x.ravel()), "ann": pa.array(a.ravel())})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, y int, x int, ann int")
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").mapInArrow(run, "path string, y int, x int, ann int")
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -99,8 +99,8 @@ def decode_indexed_png(data: bytes) -> np.ndarray:
     return out
 
 
-def write_masks(labels: DataFrame, out_dir: str, palette: list[tuple[int, int, int]], kind: str = "png", shift: int = 0, value: str = "label") -> DataFrame:
-    """One file for each image of (img, y, x, label): a palette PNG or an .npy. Returns (img, file). ``shift`` is added to each
+def write_masks(labels: DataFrame, out_dir: str, palette: list[tuple[int, int, int]], kind: str = "png", shift: int = 0, value: str = "label", key: str = "img", suffix: str = "_index") -> DataFrame:
+    """One file for each image of (img, y, x, label): a palette PNG or an .npy. Returns (img, file). ``key`` may be another column that names images, a string too; a file has that name and ``suffix``. ``shift`` is added to each
     index before it gets its colour."""
     colors = np.zeros((256, 3), dtype=np.uint8)
     if palette:
@@ -116,15 +116,22 @@ def write_masks(labels: DataFrame, out_dir: str, palette: list[tuple[int, int, i
             buffer = io.BytesIO()
             np.save(buffer, a)
             data = buffer.getvalue()
-        img = table["img"][0].as_py()
-        name = f"{img}_index.{kind}"
+        img = table[key][0].as_py()
+        name = f"{img}{suffix}.{kind}"
         stream, commit = open_output(f"{out_dir}/{name}")
         stream.write(data)
         commit()
-        return pa.table({"img": pa.array([img], pa.int64()), "file": [name]})
+        return pa.table({key: pa.array([img], table[key].type), "file": [name]})
 
-    rows = labels.select(F.col("img").cast("long").alias("img"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("int").alias("pw_value"))
-    return rows.groupBy("img").applyInArrow(run, "img long, file string")
+    named = F.col(key) if labels.schema[key].dataType.simpleString() == "string" else F.col(key).cast("long")
+    rows = labels.select(named.alias(key), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("int").alias("pw_value"))
+    return rows.groupBy(key).applyInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, file string")
+
+
+def label_palette(class_colors: dict[int, tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The palette of exported masks: label k is drawn in the colour of class k + 1; classes without one are black."""
+    top = max(class_colors, default=0)
+    return [class_colors.get(k + 1, (0, 0, 0)) for k in range(min(top, 256))]
 
 
 def read_masks(spark: SparkSession, path: str) -> DataFrame:
@@ -152,8 +159,17 @@ def listing(files: DataFrame, suffixes: tuple[str, ...] = ("npy",), start: int =
     return out.limit(count) if count > 0 else out
 
 
+def file_name(path: str) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of a folder's files; what they hold isn't read."""
+    return spark.read.format("binaryFile").load(folder).select("path")
+
+
 def with_base(files: DataFrame) -> DataFrame:
-    name = F.element_at(F.split("path", "/"), -1)
+    name = file_name("path")
     return files.withColumns({"stem": F.regexp_replace(name, r"\.[^.]*$", ""), "ext": F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))})
 
 

@@ -52,7 +52,7 @@ def test_has_rows(spark, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["img", "y", "x", "label"]
-    assert df.count() == 3 * 256
+    assert df.count() == 4 * 256
 
 
 def test_core_does_not_import_the_text_operators():
