@@ -16,7 +16,7 @@ from pixelweft.llm.fertility import keep_good
 from pixelweft.llm.gumbel_pieces import encode_samples
 from pixelweft.llm.line_dedup import drop_boilerplate
 from pixelweft.llm.phrase_index import drop_contaminated
-from pixelweft.runtime import materialize, workspace
+from pixelweft.runtime import discard, materialize, scratch, workspace
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -64,8 +64,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = workspace(spark, "pipeline")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"{out}/{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"{out}/{k}")
+        if k:
+            discard(spark, f"{out}/{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)

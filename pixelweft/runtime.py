@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +54,25 @@ def shared_base(spark: SparkSession) -> str:
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_base(spark)}/pixelweft/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/pixelweft/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+#: Paths handed out inside open ``scratch`` blocks.
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What workspaces hold that are made inside goes at the end: for steps whose result is written elsewhere."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            discard(spark, path)
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -67,11 +87,11 @@ BROADCAST_ROWS = 200_000
 
 
 def join_checked(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a table that is small as a rule, such as one row for each image. It is written and counted first: up to
-    BROADCAST_ROWS it is broadcast, so that ``df`` needn't be shuffled; beyond, the join is a plain one. Left to itself, the
+    """Join a table that is small as a rule, such as one row for each image. Its rows are counted first, at most BROADCAST_ROWS and one, which needs no
+    more than its keys: up to that many it is broadcast, so that ``df`` needn't be shuffled; beyond, the join is a plain one. Left to itself, the
     planner would guess the size of an aggregate from its input, and shuffle both sides before it sees better."""
-    table = materialize(small, workspace(df.sparkSession, "small"))
-    return df.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(small) if few else small, on, how)
 
 
 def make_folder(spark: SparkSession, path: str) -> None:
