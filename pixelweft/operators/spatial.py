@@ -1,4 +1,4 @@
-"""Operators over pixel neighbourhoods, as windows over full lattices.
+"""Operators over pixel neighbourhoods, as windows over full lattices or, where they go on for rounds, as numpy groups.
 
 A lattice is a relation with a row for every pixel of an image: (img, y, x, ...). Row and column windows are keyed by image and
 line; ``by_image`` places whole images first, so that a chain of them costs one shuffle. An image has to fit a task's window buffer line by line,
@@ -91,34 +91,8 @@ def sobel_edges(df: DataFrame, value: Column, keys: Sequence[str] = ("img",)) ->
     return df.withColumn("edge", F.sqrt(gx * gx + gy * gy)).drop("v", "l", "r", "sx", "sy")
 
 
-def geodesic_within(df: DataFrame, seeds: dict[str, Column], radius: float, cost: str = "cost", keys: Sequence[str] = ("img",), eight: bool = True) -> DataFrame:
-    """Distances from seed pixels over a cost surface, exact wherever at most ``radius``, null beyond.
-
-    A step costs its length (1, or the root of 2) times the mean cost of its ends. As costs are at least 1, a path of
-    length r has at most r steps, so floor(r) rounds of taking the least over neighbours are enough. ``seeds`` maps a
-    result column to the seed condition; all are relaxed in the same windows.
-    """
-    names = list(seeds)
-    df = by_image(df, keys).withColumns({n: F.when(s, F.lit(0.0)) for n, s in seeds.items()})
-    rows, cols = _row(keys), _column(keys)
-    keep = df.columns
-    c = F.col(cost)
-    for _ in range(math.floor(radius)):
-        side = {f"pw_{s}_{n}": f(n).over(rows) for s, f in (("l", F.lag), ("r", F.lead)) for n in (*names, cost)}
-        df = df.withColumns(side)
-        if eight:
-            df = df.withColumns({f"pw_{v}{h}_{n}": f(f"pw_{h}_{n}" if h else n).over(cols) for v, f in (("u", F.lag), ("d", F.lead)) for h in ("", "l", "r") for n in (*names, cost)})
-            around = [("l", 1.0), ("r", 1.0), ("u", 1.0), ("d", 1.0), *((x, DIAGONAL) for x in ("ul", "ur", "dl", "dr"))]
-        else:
-            df = df.withColumns({f"pw_{v}_{n}": f(n).over(cols) for v, f in (("u", F.lag), ("d", F.lead)) for n in (*names, cost)})
-            around = [(x, 1.0) for x in "lrud"]
-        near = lambda n: [F.col(f"pw_{a}_{n}") + w * 0.5 * (c + F.col(f"pw_{a}_{cost}")) for a, w in around]  # noqa: E731, B023
-        df = df.select(*[F.least(n, *near(n)).alias(n) if n in names else F.col(n) for n in keep])
-    return df.withColumns({n: F.when(F.col(n) <= radius, F.col(n)) for n in names})
-
-
 def _per_image(df: DataFrame, keys: Sequence[str], work, schema: str) -> DataFrame:
-    """One whole image at a time in numpy: for what windows can't express."""
+    """One whole image at a time in numpy: for what windows can't express, or only dearly."""
     return df.groupBy(*keys).applyInArrow(work, schema)
 
 
@@ -133,6 +107,49 @@ def _grid(table: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
     return out
 
 
+def geodesic_within(df: DataFrame, seeds: dict[str, Column], radius: float, cost: str = "cost", keys: Sequence[str] = ("img",), eight: bool = True) -> DataFrame:
+    """Distances from seed pixels over a cost surface, exact wherever at most ``radius``, null beyond.
+
+    A step costs its length (1, or the root of 2) times the mean cost of its ends. As costs are at least 1, a path of
+    length r has at most r steps, so floor(r) rounds of taking the least over neighbours are enough. ``seeds`` maps a
+    result column to the seed condition. One whole image at a time in numpy: as windows, every round would sort all pixels twice.
+    """
+    names = list(seeds)
+    steps = [(1, 0, 1.0), (-1, 0, 1.0), (0, 1, 1.0), (0, -1, 1.0)] + ([(a, b, DIAGONAL) for a in (1, -1) for b in (1, -1)] if eight else [])
+    df = df.withColumns({n: F.coalesce(s, F.lit(False)) for n, s in seeds.items()})
+
+    def spread(d: np.ndarray, c: np.ndarray) -> np.ndarray:
+        h, w = c.shape
+        around = np.full((h + 2, w + 2), np.inf)
+        costs = around.copy()
+        costs[1:-1, 1:-1] = c
+        for _ in range(math.floor(radius)):
+            around[1:-1, 1:-1] = d
+            new = d
+            for dy, dx, far in steps:
+                there = slice(1 + dy, 1 + dy + h), slice(1 + dx, 1 + dx + w)
+                new = np.minimum(new, around[there] + far * 0.5 * (c + costs[there]))
+            if (new == d).all():
+                break
+            d = new
+        return d
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        y, x = table["y"].to_numpy(), table["x"].to_numpy()
+        c = np.full((int(y.max()) + 1, int(x.max()) + 1), np.inf)
+        c[y, x] = table[cost].to_numpy()
+        for n in names:
+            d = np.full(c.shape, np.inf)
+            d[y, x] = np.where(table[n].to_numpy(zero_copy_only=False), 0.0, np.inf)
+            v = spread(d, c)[y, x]
+            table = table.set_column(table.column_names.index(n), n, pa.array(v, mask=~(v <= radius)))
+        return table
+
+    schema = ", ".join(f"`{f.name}` {'double' if f.name in names else f.dataType.simpleString()}" for f in df.schema)
+    return _per_image(df, keys, work, schema)
+
+
 def geodesic_exact(df: DataFrame, seed: str, cost: str = "cost", keys: Sequence[str] = ("img",), eight: bool = True) -> DataFrame:
     """Distances without a bound, by a heap, one image a task: adds ``dist`` (null where no seed reaches)."""
     steps = [(1, 0, 1.0), (-1, 0, 1.0), (0, 1, 1.0), (0, -1, 1.0)] + ([(a, b, DIAGONAL) for a in (1, -1) for b in (1, -1)] if eight else [])

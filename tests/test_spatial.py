@@ -1,5 +1,6 @@
 """Neighbourhood operators against small numpy models, and the traps of seeds and fusion."""
 
+import functools
 import heapq
 import math
 
@@ -188,6 +189,52 @@ def test_energy_does_not_rise():
         last = e
 
 
+def test_a_refine_of_two_rounds_is_two_of_one():
+    image, mask = patch()
+    _, bg, fg = grabcut.segment(image, mask, iterations=1)
+    one, bg1, fg1 = grabcut.segment(image, mask, (bg, fg), 1)
+    twice, bg2, fg2 = grabcut.segment(image, one, (bg1, fg1), 1)
+    both, bg3, fg3 = grabcut.segment(image, mask, (bg, fg), 2)
+    assert (twice == both).all() and np.allclose(bg2.flat(), bg3.flat()) and np.allclose(fg2.flat(), fg3.flat())
+
+
+def test_refining_runs_the_rounds_it_is_given(spark):
+    image, mask = patch()
+    cells = [(0, 2, y, x, *(int(v) for v in np.clip(image[y, x], 0, 255)), int(mask[y, x])) for y in range(24) for x in range(24)]
+    rows = spark.createDataFrame(cells, "img long, class_id int, y int, x int, f0 int, f1 int, f2 int, trimap int")
+    models = grabcut.grabcut(rows, iterations=1).filter("bg_model IS NOT NULL").select("img", "class_id", "bg_model", "fg_model")
+    flat = models.first()
+    got = grabcut.grabcut(rows.join(models, ["img", "class_id"]), iterations=3).filter("bg_model IS NOT NULL").first()
+    exact = np.array([[c[4], c[5], c[6]] for c in cells], float).reshape(24, 24, 3)
+    _, bg, _ = grabcut.segment(exact, mask, (grabcut.Mixture.of(flat.bg_model), grabcut.Mixture.of(flat.fg_model)), 3)
+    assert got.iterations == 3 and np.allclose(got.bg_model, bg.flat())
+
+
+def test_an_ensemble_fuses_as_its_slots_do(spark):
+    rng = np.random.default_rng(6)
+    cells = [(0, y, x) for y in range(4) for x in range(5)]
+    masks = [(*c, k, s, int(rng.random() < 0.5), float(rng.integers(0, 3))) for c in cells[:-2] for k in (2, 3, 4) for s in range(3)]
+    px = spark.createDataFrame(cells, "img long, y int, x int")
+    m = spark.createDataFrame(masks, "img long, y int, x int, class_id int, slot int, fg int, dist double")
+    for tie in (0, 1, 2):
+        apart = functools.reduce(lambda a, b: a.unionByName(b), [fuse.fuse_classes(m.filter(f"slot = {s}"), px).selectExpr("*", f"{s} AS slot") for s in range(3)])
+        assert sorted(fuse.fuse_slots(m, px, tie).collect()) == sorted(fuse.majority_vote(apart, tie).collect())
+
+
+def test_default_radius_on_images_of_unequal_size(spark):
+    rng = np.random.default_rng(7)
+    shapes = {1: (31, 47), 2: (52, 20)}
+    cost = {i: 1 + 3 * rng.random(s) for i, s in shapes.items()}
+    seed = {i: rng.random(s) < 0.004 for i, s in shapes.items()}
+    rows = [(i, y, x, float(cost[i][y, x]), bool(seed[i][y, x]), "z") for i, (h, w) in shapes.items() for y in range(h) for x in range(w)]
+    df = spark.createDataFrame(rows, "img long, y int, x int, cost double, mark boolean, other string")
+    got = {(r.img, r.y, r.x): r.d for r in spatial.geodesic_within(df, {"d": df.mark}, 12).collect()}
+    every = {(r.img, r.y, r.x): r.dist for r in spatial.geodesic_exact(df, "mark").collect()}
+    assert set(got) == set(every) and sum(d is not None for d in got.values()) > 300
+    for k, d in every.items():
+        assert (got[k] is None) == (d is None or d > 12) and (got[k] is None or math.isclose(got[k], d))
+
+
 def test_min_cut_is_minimal_on_small_grids():
     rng = np.random.default_rng(5)
     for _ in range(4):
