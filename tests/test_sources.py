@@ -131,3 +131,45 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
         q.stop()
     want = sorted(tuple(r) for r in session_batch(spark.createDataFrame(LOG, ACTIONS)).collect())
     assert sorted(tuple(r) for r in spark.table("session_rows").collect()) == want
+
+
+def test_a_stream_of_actions_is_cut(spark, tmp_path):
+    """What the stream leaves is what the cuts give one after the other."""
+    from pixelweft.operators import grabcut, seeds
+    from pixelweft.streaming.cuts import standing, start_session
+
+    rng = np.random.default_rng(2)
+    image = rng.integers(0, 20, (12, 12, 3))
+    image[2:7, 2:7], image[8:11, 1:11] = image[2:7, 2:7] + 150, image[8:11, 1:11] + 60
+    features = spark.createDataFrame([(i, y, x, *(int(v) for v in image[y, x])) for i in (0, 1) for y in range(12) for x in range(12)], "img long, y int, x int, f0 int, f1 int, f2 int")
+    cell = lambda y, x: y * 12 + x
+    square, bar, ground = [cell(y, 4) for y in (3, 4, 5)], [cell(9, x) for x in range(2, 9)], [cell(0, x) for x in range(12)]
+    log = [(0, 1, "stroke", 2, square), (0, 2, "stroke", 1, ground), (0, 3, "segment", 0, []), (0, 4, "stroke", 3, bar), (0, 5, "refine", 0, []), (0, 6, "refine", 0, []), (1, 1, "stroke", 2, square), (1, 2, "segment", 0, []), (1, 3, "reset", 0, [])]
+    src = tmp_path / "in"
+    for k in range(3):
+        spark.createDataFrame([r for r in log if (r[1] - 1) // 2 == k], ACTIONS).coalesce(1).write.mode("append").parquet(str(src))
+        import time
+
+        time.sleep(1.1)
+    stream = spark.readStream.schema(ACTIONS).option("maxFilesPerTrigger", 1).parquet(str(src))
+    store = f"file://{tmp_path}/store"
+    q = start_session(stream, features, store, str(tmp_path / "cp"), width=12)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {(r.img, r.class_id): r for r in standing(spark, store).collect()}
+
+    def trimap(fg, bg):
+        mask = np.full((12, 12), seeds.MAYBE_BACKGROUND)
+        mask.ravel()[bg], mask.ravel()[fg] = seeds.BACKGROUND, seeds.FOREGROUND
+        return mask
+
+    x = image.astype(float)
+    _, *models = grabcut.segment(x, trimap(square, ground))
+    for _ in range(2):
+        mask, *models = grabcut.segment(x, trimap(square, ground + bar), tuple(models), 2)
+    front = np.flatnonzero(np.isin(mask, (seeds.FOREGROUND, seeds.MAYBE_FOREGROUND)).ravel()).tolist()
+    assert set(got) == {(0, 2), (0, 3)} and got[0, 2].cells == front and set(square) <= set(front)
+    assert (got[0, 2].seq, got[0, 2].iterations, got[0, 3].iterations) == (6, 3, 2)
+    assert np.allclose(got[0, 2].bg_model, models[0].flat()) and set(bar) <= set(got[0, 3].cells)
