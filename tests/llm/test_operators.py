@@ -112,6 +112,27 @@ def test_near_copies_above_the_ratio_stay_whole(spark, out_dir):
     assert all(got[k] == (t.removeprefix("menu home\n"), 1) for k, t in others.items())
 
 
+def test_line_dedup_of_odd_rows(spark, odd_docs, odd_rows, out_dir):
+    docs, empty = odd_docs
+    long = "\n".join(f"line {k % 3000} of a long text" for k in range(60_000))
+    rows = [(*r[:4],) for r in odd_rows] + [(50, long, "en", "s"), (51, long + "\nend", "en", "s"), (50, long, "en", "s")]
+    blanks = " \t\r\x0b\x0c"
+    bare = lambda t: [x.strip(blanks) for x in t.split("\n")]
+    pages = collections.Counter(r[3] for r in rows)
+    seen = collections.Counter((r[3], x) for r in rows for x in set(bare(r[1] or "")) if x)
+    bad = {k for k, n in seen.items() if n >= 2 and n / pages[k[0]] > 0.12}
+    want = []
+    for i, t, _, s in rows:
+        lines = (t or "").split("\n")
+        left = [x for x in lines if (s, x.strip(blanks)) not in bad]
+        want.append((i, None if t is None else "\n".join(left), sum(bool(x) for x in bare(t or "")) if t is not None else 0, len(lines) - len(left)))
+    df = spark.createDataFrame([(*r, "m", "n") for r in rows], "doc_id long, text string, lang string, source string, line string, host string")
+    got = [(r.doc_id, r.text, r.pw_lines, r.pw_dropped) for r in line_dedup.drop_boilerplate(df, out_dir, min_pages=2, max_ratio=0.12).collect()]
+    key = lambda r: tuple(map(none_first, r))
+    assert sorted(got, key=key) == sorted(want, key=key) and sum(r[3] > 0 for r in want) >= 5
+    assert line_dedup.drop_boilerplate(empty, f"{out_dir}-e").columns == [*empty.columns, "pw_lines", "pw_dropped"]
+
+
 def test_line_dedup_joins_alike_beyond_the_broadcast_bound(spark, odd_docs, out_dir, monkeypatch):
     docs, _ = odd_docs
     run = lambda d: sorted((str(tuple(r)) for r in line_dedup.drop_boilerplate(docs, d, max_ratio=0.05, min_pages=1).collect()))
@@ -230,6 +251,17 @@ def test_warc(spark, out_dir):
     assert warc_bundle.read_bundles(spark, gone).count() == 0
 
 
+def test_long_records_fill_frames_and_bundles(spark, out_dir):
+    rng = np.random.default_rng(14)
+    long = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 900_000)))
+    rows = [(k, "u", long[k * 1000 :] if k < 3 else f"page {k}") for k in range(12)] + [(20, "u", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    index = warc_bundle.write_bundles(pages, out_dir, bundle_bytes=1 << 20, frame_bytes=64 << 10)
+    assert index.select("file").distinct().count() >= 3 and index.agg(F.max("length")).first()[0] > 2_000_000
+    got = {r.page_id: r for r in warc_bundle.read_bundles(spark, out_dir).collect()}
+    assert all(got[i].payload == h for i, _, h in rows if i != 20) and got[20].refers_to == 0 and got[20].payload_bytes == len(long.encode())
+
+
 def test_small_payloads_are_all_responses(spark, out_dir):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     warc_bundle.write_bundles(pages, out_dir, min_revisit_bytes=5)
