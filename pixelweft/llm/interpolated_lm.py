@@ -13,7 +13,7 @@ found, one order after the other. What EM needs of a token at one order is its b
 on the executors by bucket and ratio, in steps of a 64th of an octave, so what the driver gets is bounded by buckets and steps and every held-out token counts.
 
 Counting and lookup move sorted key blocks, not rows. Documents are encoded once into blocks of about
-``block_tokens`` tokens. A block sends each of 128 key ranges one message: its distinct n-grams there (hashes) with their counts. A range
+``block_tokens`` tokens. A block sends each key range (as many as blocks, 128 at most) one message: its distinct n-grams there (hashes) with their counts. A range
 adds up all messages and answers each with the total counts in the same order. So a frequent word or pair costs one entry a block, ranges are even, and no
 task holds more than its range's share. Beyond ``fan`` blocks this goes in levels: the messages of ``fan`` blocks to a range are merged into
 one block of that range, these blocks exchange messages with the 128 ranges within it in the same way, and the answers return by the same way.
@@ -454,12 +454,14 @@ class Model:
     scores: DataFrame
 
 
-def train_and_score(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2, deleted: int = 3, order: int = 3, block_tokens: int = 2_000_000, fan: int = 128, bits: int = BITS) -> Model:
+def train_and_score(docs: DataFrame, out_dir: str, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2, deleted: int = 3, order: int = 3, block_tokens: int = 2_000_000, fan: int = 128, bits: int | None = None) -> Model:
     """Learn from all documents but those of fold ``held_out``; score all of them."""
     spark = docs.sparkSession
     blocks = encode_blocks(docs, f"{out_dir}/blocks", id_col=id_col, text_col=text_col, block_tokens=block_tokens)
     total, count = blocks.agg(F.sum("n_tokens"), F.count("*")).first()
     width = min(64, (total or 0).bit_length() + 24)
+    # Few blocks have few ranges, so that a range has about a block's share; many have 2 ** BITS of them on each level.
+    bits = bits or min(BITS, max(3, count.bit_length()))
     answers = exchange(blocks, _read_block(held_out, deleted, order, width), count, f"{out_dir}/exchange", order=order, width=width, fan=fan, bits=bits)
     answers = materialize(answers, f"{out_dir}/answers")
     n, v, n_deleted = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v"), F.sum("n_deleted")).first())
