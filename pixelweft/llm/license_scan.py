@@ -16,6 +16,8 @@ extra columns don't matter; names that begin with ``pw_`` are reserved. An empty
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,7 +206,7 @@ ADDRESS, TAG, TEXT = r"^[^a-z0-9]*(https?://|www[.])[^ \t]*[ \t\r]*$", r"spdx-li
 def _ids(lines: Column) -> Column:
     """Identifiers of the known sentences of lower-case text, in order."""
     bare = F.transform(F.split(F.regexp_replace(lines, SENTENCE_END, "$1\n"), "\n", -1), lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, OTHER, " ")), ANY_BSD_NAME, BSD_NAME))
-    known = F.create_map(*[F.lit(x) for kv in KNOWN.items() for x in kv])
+    known = F.from_json(F.lit(json.dumps(KNOWN)), "map<string,string>")
     return F.transform(F.filter(bare, lambda s: s.isin(*KNOWN)), lambda s: F.try_element_at(known, s))
 
 
@@ -239,7 +241,8 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     docs = docs.withColumn("pw_wrapped", _joined(F.when(marked, _ids(_unwrapped(lower))).otherwise(none)))
     # A list of the rules that hold is made only where there is an identifier: most texts have none.
     any_id = (F.col("pw_by_line") != ",,") | (F.col("pw_wrapped") != ",,")
-    every = F.array(*[F.struct(F.lit("," + ",".join(ids) + ",").alias("needle"), F.lit(rule_name(k)).alias("name"), F.lit(licence).alias("licence"), F.array(*[F.lit(j) for j in _longer(k)]).cast("array<int>").alias("longer"), F.lit(k).alias("k")) for k, (licence, _, ids) in enumerate(ALL_RULES)])
+    rules = [{"needle": "," + ",".join(ids) + ",", "name": rule_name(k), "licence": licence, "longer": _longer(k), "k": k} for k, (licence, _, ids) in enumerate(ALL_RULES)]
+    every = F.from_json(F.lit(json.dumps(rules)), "array<struct<needle:string,name:string,licence:string,longer:array<int>,k:int>>")
     found = F.filter(every, lambda r: F.col("pw_by_line").contains(r.needle) | F.col("pw_wrapped").contains(r.needle))
     docs = docs.withColumn("pw_found", F.when(any_id, found).otherwise(F.filter(every, lambda r: F.lit(False))))
     docs = docs.withColumn("pw_held", F.transform("pw_found", lambda r: r.k))
