@@ -285,9 +285,10 @@ def srgb_linear(let, r, g, b):
 
 
 def ycbcr_bt709(let, r, g, b):
-    r, g, b = unit(r), unit(g), unit(b)
+    # Levels are weighted before they are divided, as in the query's SQL: where a value lies on a level's edge, the order decides.
+    dot = lambda p, q, s: F.lit(p) * r / 255.0 + F.lit(q) * g / 255.0 + F.lit(s) * b / 255.0
     off = lambda x: (x + 0.5) * 255.0
-    return [Channel(0.2126 * r + 0.7152 * g + 0.0722 * b, _fixed_unit), Channel(-0.11457211 * r - 0.38542789 * g + 0.5 * b, off), Channel(0.5 * r - 0.4541529 * g - 0.04584709 * b, off)]
+    return [Channel(dot(0.2126, 0.7152, 0.0722), _fixed_unit), Channel(dot(-0.11457211, -0.38542789, 0.5), off), Channel(dot(0.5, -0.4541529, -0.04584709), off)]
 
 
 def ruderman_lab(let, r, g, b):

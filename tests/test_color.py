@@ -69,3 +69,10 @@ def test_layouts_prefer_hwc(spark):
 def test_ensemble_has_slots(spark):
     out = ensemble_features(lattice(spark, [(1, 2, 3), (200, 100, 0)]), ("oklab", "XYZ", "rgb"))
     assert {(r.slot, r.space) for r in out.collect()} == {(0, "oklab"), (1, "xyz"), (2, "rgb")}
+
+
+def test_ycbcr_levels_on_edges(spark):
+    """Values within a rounding of a level's edge: what DuckDB makes of the query's SQL."""
+    want = {(119, 119, 76): (115, 106, 129), (37, 37, 110): (42, 164, 124), (149, 94, 29): (100, 88, 157), (247, 247, 236): (246, 121, 128), (205, 205, 246): (207, 148, 125), (221, 30, 77): (73, 129, 220)}
+    got = {r.x: (r.f0, r.f1, r.f2) for r in features(lattice(spark, list(want)), "ycbcr_bt709").collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
