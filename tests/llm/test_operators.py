@@ -967,3 +967,41 @@ def test_library_decodes_the_ids(pieces):
 
 def test_digest_of_nothing_is_that_of_an_empty_string():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_samples_hold_one_slice_and_small_batches(spark, monkeypatch):
+    """Arrow batches are bounded in bytes whatever a session had, and a slice's arrays have gone before its rows are given on."""
+    from pixelweft.llm import common
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, "longer words than these " * 200) for i in range(8)], "doc_id long, text string")
+    try:
+        for had, then in ((str(64 << 20), common.BATCH_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(name, had)
+            gumbel_pieces.encode_samples(docs, PIECES, k=2)
+            assert spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) == then
+    finally:
+        spark.conf.set(name, before)
+
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    made, frame = [], type("Frame", (), {"sparkSession": spark, "select": lambda self, *c: self, "mapInArrow": lambda self, f, schema: f})()
+    call = gumbel_pieces.Units.__call__
+
+    def kept(self, texts):
+        lat, numbers = call(self, texts)
+        made.append((weakref.ref(lat), lat is self.lattices))
+        return lat, numbers
+
+    monkeypatch.setattr(gumbel_pieces.Units, "__call__", kept)
+    monkeypatch.setattr(gumbel_pieces, "BATCH_CHARS", 2_000)
+    monkeypatch.setattr(common, "_HELD", {})
+    rows = pa.RecordBatch.from_pydict({"id": list(range(6)), "body": [f"text {i} " * 300 for i in range(6)]})
+    for _ in gumbel_pieces.encode_samples(frame, PIECES, k=2)(iter([rows])):
+        gc.collect()
+        assert all(own or lat() is None for lat, own in made)
+    assert len(made) > 2
