@@ -30,12 +30,13 @@ def class_masks(pixels: DataFrame, feats: DataFrame, *, spaces: Sequence[str] =
     seeds = one_vs_rest(pixels, ann)
     if radius is not None:
         seeds = expand(seeds, radius, alpha)
-    tri = seeds.select(*PIXEL, "class_id", trimap().alias("trimap"))
+    guide = ["r", "g", "b"] if smooth else []
+    tri = seeds.select(*PIXEL, "class_id", *guide, trimap().alias("trimap"))
     keys = ["img", "class_id", *spaces]
-    cut = grabcut(tri.join(feats, PIXEL), keys, iterations).select(*keys, "y", "x", "fg")
+    cut = grabcut(tri.join(feats, PIXEL), keys, iterations, guide).select(*keys, "y", "x", "fg", *guide)
     if not smooth:
         return cut
-    guided = guided_filter(cut.join(pixels.select(*PIXEL, "r", "g", "b"), PIXEL), "fg", keys=keys)
+    guided = guided_filter(cut, "fg", keys=keys, placed=True)
     return guided.select(*keys, "y", "x", F.col("snapped").alias("fg"))
 
 

@@ -1,18 +1,20 @@
 """Operators over pixel neighbourhoods, as windows over full lattices or, where they go on for rounds, as numpy groups.
 
 A lattice is a relation with a row for every pixel of an image: (img, y, x, ...). Row and column windows are keyed by image and
-line; ``by_image`` places whole images first, so that a chain of them costs one shuffle. An image has to fit a task's window buffer line by line,
-not as a whole.
+line, so that an image has to fit a task's window buffer line by line, not as a whole. What goes to numpy is held by whole images, small ones of one shape
+together (``in_groups``).
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,6 @@ DIAGONAL = math.sqrt(2.0)
 CHAMFER = (0.955, 1.3693)
 
 
-def by_image(df: DataFrame, keys: Sequence[str] = ("img",)) -> DataFrame:
-    return df.repartition(*keys)
-
-
 def _row(keys: Sequence[str]):
     return Window.partitionBy(*keys, "y").orderBy("x")
 
@@ -96,6 +94,61 @@ def _per_image(df: DataFrame, keys: Sequence[str], work, schema: str) -> DataFra
     return df.groupBy(*keys).applyInArrow(work, schema)
 
 
+#: Pixels of the groups that numpy takes at a time: small images share their numpy calls, a larger one has its own.
+TOGETHER = 1 << 15
+
+
+def in_groups(df: DataFrame, keys: Sequence[str], work: Callable[[list[pa.Table]], Iterator[pa.Table]], schema: str, placed: bool = False) -> DataFrame:
+    """As a grouped map, but ``work`` gets several whole groups at once, some TOGETHER pixels or one that has more. ``placed`` rows come from such a map by
+    the same keys: groups lie in a row already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, most = 0, TOGETHER
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                groups = _groups(held, keys)
+                held = groups[-1].to_batches()  # it may go on
+                n = groups[-1].num_rows
+                most = max(TOGETHER, 2 * n)  # a large group isn't looked through anew at each batch
+                yield from _in_turn(groups[:-1], work)
+        if n:
+            yield from _in_turn(_groups(held, keys), work)
+
+    return (df if placed else df.repartition(*keys).sortWithinPartitions(*keys)).mapInArrow(run, schema)
+
+
+def _groups(batches: list[pa.RecordBatch], keys: Sequence[str]) -> list[pa.Table]:
+    """Cuts rows in the order of their keys where a key changes; nulls are one key."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    changes = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
+    for k in keys:
+        a, b = table[k].slice(1), table[k].slice(0, table.num_rows - 1)
+        changes |= pc.fill_null(pc.not_equal(a, b), False).to_numpy().astype(bool) | (a.is_null().to_numpy().astype(bool) != b.is_null().to_numpy().astype(bool))
+    edges = [0, *(np.flatnonzero(changes) + 1).tolist(), table.num_rows]
+    return [table.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def by_shape(tables: list[pa.Table]) -> dict[tuple[int, int], list[tuple[pa.Table, np.ndarray, np.ndarray]]]:
+    """Images' tables and their rows' places, by the images' heights and widths."""
+    out = defaultdict(list)
+    for table in tables:
+        y, x = table["y"].to_numpy(), table["x"].to_numpy()
+        out[int(y.max()) + 1, int(x.max()) + 1].append((table, y, x))
+    return out
+
+
+def _in_turn(groups: list[pa.Table], work: Callable[[list[pa.Table]], Iterator[pa.Table]]) -> Iterator[pa.RecordBatch]:
+    while groups:
+        size = np.cumsum([g.num_rows for g in groups])
+        n = max(1, int(np.searchsorted(size, TOGETHER, side="right")))
+        for out in work(groups[:n]):
+            yield from out.to_batches()
+        groups = groups[n:]
+
+
 def _grid(table: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
     y, x = table["y"].to_numpy(), table["x"].to_numpy()
     shape = (int(y.max()) + 1, int(x.max()) + 1)
@@ -112,42 +165,45 @@ def geodesic_within(df: DataFrame, seeds: dict[str, Column], radius: float, cost
 
     A step costs its length (1, or the root of 2) times the mean cost of its ends. As costs are at least 1, a path of
     length r has at most r steps, so floor(r) rounds of taking the least over neighbours are enough. ``seeds`` maps a
-    result column to the seed condition. One whole image at a time in numpy: as windows, every round would sort all pixels twice.
+    result column to the seed condition. Whole images in numpy: as windows, every round would sort all pixels twice.
     """
     names = list(seeds)
     steps = [(1, 0, 1.0), (-1, 0, 1.0), (0, 1, 1.0), (0, -1, 1.0)] + ([(a, b, DIAGONAL) for a in (1, -1) for b in (1, -1)] if eight else [])
     df = df.withColumns({n: F.coalesce(s, F.lit(False)) for n, s in seeds.items()})
 
     def spread(d: np.ndarray, c: np.ndarray) -> np.ndarray:
-        h, w = c.shape
-        around = np.full((h + 2, w + 2), np.inf)
+        h, w = c.shape[1:]
+        around = np.full((len(c), h + 2, w + 2), np.inf)
         costs = around.copy()
-        costs[1:-1, 1:-1] = c
+        costs[:, 1:-1, 1:-1] = c
         for _ in range(math.floor(radius)):
-            around[1:-1, 1:-1] = d
+            around[:, 1:-1, 1:-1] = d
             new = d
             for dy, dx, far in steps:
-                there = slice(1 + dy, 1 + dy + h), slice(1 + dx, 1 + dx + w)
+                there = slice(None), slice(1 + dy, 1 + dy + h), slice(1 + dx, 1 + dx + w)
                 new = np.minimum(new, around[there] + far * 0.5 * (c + costs[there]))
             if (new == d).all():
                 break
             d = new
         return d
 
-    def work(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        y, x = table["y"].to_numpy(), table["x"].to_numpy()
-        c = np.full((int(y.max()) + 1, int(x.max()) + 1), np.inf)
-        c[y, x] = table[cost].to_numpy()
-        for n in names:
-            d = np.full(c.shape, np.inf)
-            d[y, x] = np.where(table[n].to_numpy(zero_copy_only=False), 0.0, np.inf)
-            v = spread(d, c)[y, x]
-            table = table.set_column(table.column_names.index(n), n, pa.array(v, mask=~(v <= radius)))
-        return table
+    def work(tables: list[pa.Table]) -> Iterator[pa.Table]:
+        for shape, groups in by_shape(tables).items():
+            c = np.full((len(groups), *shape), np.inf)
+            for g, (table, y, x) in enumerate(groups):
+                c[g, y, x] = table[cost].to_numpy()
+            out = pa.concat_tables([table for table, _, _ in groups])
+            for n in names:
+                d = np.full(c.shape, np.inf)
+                for g, (table, y, x) in enumerate(groups):
+                    d[g, y, x] = np.where(table[n].to_numpy(), 0.0, np.inf)
+                d = spread(d, c)
+                v = np.concatenate([d[g, y, x] for g, (_, y, x) in enumerate(groups)])
+                out = out.set_column(out.column_names.index(n), n, pa.array(v, mask=~(v <= radius)))
+            yield out
 
     schema = ", ".join(f"`{f.name}` {'double' if f.name in names else f.dataType.simpleString()}" for f in df.schema)
-    return _per_image(df, keys, work, schema)
+    return in_groups(df, keys, work, schema)
 
 
 def geodesic_exact(df: DataFrame, seed: str, cost: str = "cost", keys: Sequence[str] = ("img",), eight: bool = True) -> DataFrame:
@@ -179,28 +235,28 @@ def geodesic_exact(df: DataFrame, seed: str, cost: str = "cost", keys: Sequence[
 
 
 def chamfer(seeds: np.ndarray) -> np.ndarray:
-    """Distance to the nearest seed in steps of CHAMFER weights: two sweeps, each line at once along its axis."""
+    """Distance to the nearest seed in steps of CHAMFER weights: two sweeps, each line at once along its axis. The last two axes are an image's."""
     a, b = CHAMFER
-    h, w = seeds.shape
+    h, w = seeds.shape[-2:]
     d = np.where(seeds, 0.0, np.inf)
     ramp = a * np.arange(w)
 
     def along(line: np.ndarray) -> np.ndarray:
-        ahead = np.minimum.accumulate(line - ramp) + ramp
-        return np.minimum(ahead, (np.minimum.accumulate((line + ramp)[::-1])[::-1]) - ramp)
+        ahead = np.minimum.accumulate(line - ramp, axis=-1) + ramp
+        return np.minimum(ahead, np.minimum.accumulate((line + ramp)[..., ::-1], axis=-1)[..., ::-1] - ramp)
 
     def from_line(line: np.ndarray) -> np.ndarray:
-        side = np.full(w, np.inf)
-        side[1:] = line[:-1]
-        side[:-1] = np.minimum(side[:-1], line[1:])
+        side = np.full(line.shape, np.inf)
+        side[..., 1:] = line[..., :-1]
+        side[..., :-1] = np.minimum(side[..., :-1], line[..., 1:])
         return np.minimum(line + a, side + b)
 
     for rows in (range(h), range(h - 1, -1, -1)):
         last = None
         for y in rows:
             if last is not None:
-                d[y] = np.minimum(d[y], from_line(d[last]))
-            d[y] = along(d[y])
+                d[..., y, :] = np.minimum(d[..., y, :], from_line(d[..., last, :]))
+            d[..., y, :] = along(d[..., y, :])
             last = y
     return d
 
@@ -209,51 +265,77 @@ def distance_transform(df: DataFrame, seed: str, keys: Sequence[str] = ("img",),
     """Adds ``dist``: the chamfer distance to the image's nearest seed, ``absent`` in images without any."""
     cols = [*keys, "y", "x"]
 
-    def work(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        (s,) = _grid(table, "pw_seed")
-        d = chamfer(s > 0) if s.any() else np.full(s.shape, absent)
-        return table.select(cols).append_column("dist", pa.array(d[table["y"].to_numpy(), table["x"].to_numpy()]))
+    def work(tables: list[pa.Table]) -> Iterator[pa.Table]:
+        for shape, groups in by_shape(tables).items():
+            here = np.zeros((len(groups), *shape), dtype=bool)
+            for g, (table, y, x) in enumerate(groups):
+                here[g, y, x] = table["pw_seed"].to_numpy() > 0
+            d = np.where(here.any(axis=(1, 2))[:, None, None], chamfer(here), absent)
+            yield pa.concat_tables([table.select(cols) for table, _, _ in groups]).append_column("dist", pa.array(np.concatenate([d[g, y, x] for g, (_, y, x) in enumerate(groups)])))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in cols) + ", dist double"
-    return _per_image(df.select(*cols, F.coalesce(F.col(seed), F.lit(False)).cast("double").alias("pw_seed")), keys, work, schema)
-
-
-def box_mean(df: DataFrame, cols: Sequence[str], radius: int, keys: Sequence[str] = ("img",)) -> DataFrame:
-    """Means over squares of side 2 radius + 1, cut off at the border. The columns are replaced."""
-    rows, lines = _row(keys).rangeBetween(-radius, radius), _column(keys).rangeBetween(-radius, radius)
-    sums = {c: F.sum(c).over(rows) for c in cols} | {"pw_n": F.count(F.lit(1)).over(rows)}
-    df = df.withColumns(sums)
-    df = df.withColumns({c: F.sum(c).over(lines) for c in (*cols, "pw_n")})
-    return df.withColumns({c: F.col(c) / F.col("pw_n") for c in cols}).drop("pw_n")
+    rows = df.select(*cols, F.coalesce(F.col(seed), F.lit(False)).cast("double").alias("pw_seed"))
+    cols[:] = [f.name for f in df.schema if f.name in cols]
+    return in_groups(rows, keys, work, schema)
+
+
+def _box_sums(a: np.ndarray, radius: int) -> np.ndarray:
+    """Sums over squares of images (the last two axes), cut off at the border: first along lines, then along columns, each from its least place on."""
+    for axis in (-1, -2):
+        n = a.shape[axis]
+        out = np.zeros_like(a)
+        at = lambda lo, hi, axis=axis: (..., slice(lo, hi), *[slice(None)] * (-1 - axis))
+        for k in range(-radius, radius + 1):
+            if abs(k) < n:
+                out[at(max(-k, 0), n - max(k, 0))] += a[at(max(k, 0), n + min(k, 0))]
+        a = out
+    return a
+
+
+def _guided(here: np.ndarray, i: np.ndarray, p: np.ndarray, radius: int, eps: float) -> np.ndarray:
+    """The smoothed mask of images (groups, y, x), by their guide's three channels. What is null is NaN and adds nothing to a sum."""
+    n = _box_sums(here.astype(float), radius)
+    mean = lambda a: _box_sums(np.where(here & ~np.isnan(a), a, 0.0), radius) / n
+    m, mp = [mean(c) for c in i], mean(p)
+    pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+    c = {(a, b): mean(i[a] * i[b]) - m[a] * m[b] + (eps if a == b else 0.0) for a, b in pairs}
+    v = [mean(i[k] * p) - m[k] * mp for k in range(3)]
+    s = lambda a, b: c[min(a, b), max(a, b)]
+    minor = lambda a, b: (lambda r, q: s(r[0], q[0]) * s(r[1], q[1]) - s(r[0], q[1]) * s(r[1], q[0]))([k for k in range(3) if k != a], [k for k in range(3) if k != b])
+    made = {(a, b): (-1.0) ** (a + b) * minor(a, b) for a, b in pairs}
+    co = lambda a, b: made[min(a, b), max(a, b)]
+    det = s(0, 0) * co(0, 0) + s(0, 1) * co(0, 1) + s(0, 2) * co(0, 2)
+    fit = [(co(k, 0) * v[0] + co(k, 1) * v[1] + co(k, 2) * v[2]) / np.where(det == 0, np.nan, det) for k in range(3)]
+    rest = mp - fit[0] * m[0] - fit[1] * m[1] - fit[2] * m[2]
+    fit = [mean(f) for f in fit]
+    return fit[0] * i[0] + fit[1] * i[1] + fit[2] * i[2] + mean(rest)
 
 
-def guided_filter(df: DataFrame, mask: str, radius: int = 4, eps: float = 1e-6, guide: Sequence[str] = ("r", "g", "b"), keys: Sequence[str] = ("img",)) -> DataFrame:
+def guided_filter(df: DataFrame, mask: str, radius: int = 4, eps: float = 1e-6, guide: Sequence[str] = ("r", "g", "b"), keys: Sequence[str] = ("img",), placed: bool = False) -> DataFrame:
     """Smooth a 0/1 mask along the edges of a colour guide, and cut at a half: adds ``smooth`` and ``snapped``.
 
     In each square the mask is fitted as a linear function of the guide's three channels; a pixel takes the mean of the fits of
-    all squares that hold it.
+    all squares that hold it. Whole images in numpy; sums are taken in the order of windows over lines and columns. ``placed``: see ``in_groups``.
     """
-    i = [F.col(g).cast("double") for g in guide]
-    p = F.col(mask).cast("double")
-    pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
-    df = by_image(df, keys).withColumns({f"pw_i{k}": v for k, v in enumerate(i)} | {"pw_p": p})
-    df = df.withColumns({f"pw_ip{k}": v * p for k, v in enumerate(i)} | {f"pw_ii{a}{b}": i[a] * i[b] for a, b in pairs})
-    made = [f"pw_i{k}" for k in range(3)] + ["pw_p"] + [f"pw_ip{k}" for k in range(3)] + [f"pw_ii{a}{b}" for a, b in pairs]
-    df = box_mean(df, made, radius, keys)
-    m, mp = [F.col(f"pw_i{k}") for k in range(3)], F.col("pw_p")
-    df = df.withColumns({f"pw_c{a}{b}": F.col(f"pw_ii{a}{b}") - m[a] * m[b] + (eps if a == b else 0.0) for a, b in pairs} | {f"pw_v{k}": F.col(f"pw_ip{k}") - m[k] * mp for k in range(3)})
-    s = lambda a, b: F.col(f"pw_c{min(a, b)}{max(a, b)}")
-    minor = lambda a, b: (lambda r, q: s(r[0], q[0]) * s(r[1], q[1]) - s(r[0], q[1]) * s(r[1], q[0]))([k for k in range(3) if k != a], [k for k in range(3) if k != b])
-    df = df.withColumns({f"pw_m{a}{b}": (-1.0) ** (a + b) * minor(a, b) for a, b in pairs})
-    co = lambda a, b: F.col(f"pw_m{min(a, b)}{max(a, b)}")
-    df = df.withColumn("pw_det", sum((s(0, k) * co(0, k) for k in range(1, 3)), s(0, 0) * co(0, 0)))
-    df = df.withColumns({f"pw_a{k}": (co(k, 0) * F.col("pw_v0") + co(k, 1) * F.col("pw_v1") + co(k, 2) * F.col("pw_v2")) / F.col("pw_det") for k in range(3)})
-    df = df.withColumn("pw_b", mp - F.col("pw_a0") * m[0] - F.col("pw_a1") * m[1] - F.col("pw_a2") * m[2])
-    df = box_mean(df, ["pw_a0", "pw_a1", "pw_a2", "pw_b"], radius, keys)
-    smooth = F.col("pw_a0") * i[0] + F.col("pw_a1") * i[1] + F.col("pw_a2") * i[2] + F.col("pw_b")
-    df = df.withColumn("smooth", smooth).withColumn("snapped", (F.col("smooth") >= 0.5).cast("int"))
-    return df.drop(*[c for c in df.columns if c.startswith("pw_")])
+
+    def work(tables: list[pa.Table]) -> Iterator[pa.Table]:
+        for shape, groups in by_shape(tables).items():
+            here = np.zeros((len(groups), *shape), dtype=bool)
+            i, p = np.full((3, *here.shape), np.nan), np.full(here.shape, np.nan)
+            for g, (table, y, x) in enumerate(groups):
+                here[g, y, x] = True
+                p[g, y, x] = pc.cast(table[mask], pa.float64()).to_numpy()
+                for k, c in enumerate(guide):
+                    i[k, g, y, x] = pc.cast(table[c], pa.float64()).to_numpy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                smooth = _guided(here, i, p, radius, eps)
+            v = np.concatenate([smooth[g, y, x] for g, (_, y, x) in enumerate(groups)])
+            null = np.isnan(v)
+            out = pa.concat_tables([table for table, _, _ in groups])
+            yield out.append_column("smooth", pa.array(v, mask=null)).append_column("snapped", pa.array((v >= 0.5).astype(np.int32), mask=null))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", smooth double, snapped int"
+    return in_groups(df, keys, work, schema, placed)
 
 
 def resize_nearest(df: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("img",)) -> DataFrame:

@@ -5,6 +5,7 @@ import heapq
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,3 +306,50 @@ def test_history_against_a_list_model(spark):
         want[s] = now
     df = spark.createDataFrame(log, "session long, seq long, action string, stroke long")
     assert {r.session: r.present for r in strokes.history(df).collect()} == want
+
+
+def test_small_groups_share_numpy_calls_and_come_out_as_alone(spark):
+    """Images of two sizes, in batches that cut through them, one with a null key and one without foreground."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for img, (h, w) in enumerate([(6, 5), (7, 4)] * 9):
+        image, mask = rng.integers(0, 256, (h, w, 3)), rng.choice([0, 1, 2], (h, w), p=[0.3, 0.2, 0.5])
+        if img == 4:
+            mask[mask == 1] = 2
+        name = None if img == 7 else img
+        rows += [(name, 2, y, x, *map(int, image[y, x]), int(mask[y, x])) for y in range(h) for x in range(w)]
+        cut = grabcut.segment(image, mask)[0] if (mask == 1).any() else mask
+        want |= {(name, y, x): int(cut[y, x] in (1, 3)) for y in range(h) for x in range(w)}
+    df = spark.createDataFrame(rows, "img long, class_id int, y int, x int, f0 int, f1 int, f2 int, trimap int").repartition(2, "img")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "17")
+    try:
+        assert {(r.img, r.y, r.x): r.fg for r in grabcut.grabcut(df).collect()} == want
+
+        def sizes(tables):
+            yield pa.table({"n": [len(tables)], "rows": [sum(t.num_rows for t in tables)]})
+
+        got = spatial.in_groups(df, ["img", "class_id"], sizes, "n long, rows long").collect()
+        assert sum(r.n for r in got) == 18 and sum(r.rows for r in got) == len(rows) and len(got) < 18
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_group_larger_than_what_goes_together(monkeypatch):
+    monkeypatch.setattr(spatial, "TOGETHER", 10)
+    parts = []
+
+    class Frame:
+        def mapInArrow(self, f, schema):  # noqa: N802
+            return f
+
+    def work(tables):
+        parts.append([t.num_rows for t in tables])
+        yield pa.concat_tables(tables)
+
+    run = spatial.in_groups(Frame(), ["k"], work, "k long", placed=True)
+    keys = [1] * 4 + [2] * 45 + [3] * 3 + [4] * 3 + [5] * 9
+    batches = [pa.RecordBatch.from_pydict({"k": keys[i : i + 6]}) for i in range(0, len(keys), 6)]
+    assert [k for b in run(iter(batches)) for k in b["k"].to_pylist()] == keys
+    assert sorted(sum(parts, [])) == [3, 3, 4, 9, 45] and max(map(len, parts)) > 1
