@@ -1005,3 +1005,58 @@ def test_samples_hold_one_slice_and_small_batches(spark, monkeypatch):
         gc.collect()
         assert all(own or lat() is None for lat, own in made)
     assert len(made) > 2
+
+
+def test_lattices_are_built_once_and_those_used_least_go(pieces, monkeypatch):
+    """Units of any earlier slice keep their lattices, and samples are the same whichever of them have gone."""
+    made, init = [], gumbel_pieces.Lattices.__init__
+
+    def spy(self, vocab, units):
+        made.extend(units)
+        init(self, vocab, units)
+
+    monkeypatch.setattr(gumbel_pieces.Lattices, "__init__", spy)
+    units = gumbel_pieces.Units(pieces)
+    for t in ("first words.", "other words, here", "more\nof them"):
+        units([t])
+    assert len(made) == len(set(made))
+    made.clear()
+    units(["here first more, of other words."])
+    assert made == [" of"]  # behind a line feed there was no blank before it
+
+    monkeypatch.setattr(gumbel_pieces, "KEPT", 40)
+    monkeypatch.setattr(gumbel_pieces, "ROOM", 60)
+    units, sizes = gumbel_pieces.Units(pieces), []
+    for i in range(12):
+        texts = [f"the garden number {i}\n\nis zażółć 汉字 {'long' * i}, the house.", "", None, f"the\ud800 \U0001f600 {i}{i}"]
+        lat, numbers = units(texts)
+        got = gumbel_pieces.sample_texts(lat, numbers, [i, 1, 2, None], 3)
+        lat, numbers = gumbel_pieces.Units(pieces)(texts)
+        want = gumbel_pieces.sample_texts(lat, numbers, [i, 1, 2, None], 3)
+        assert [[(r[0].tolist(), *r[1:]) for r in rows] for rows in got] == [[(r[0].tolist(), *r[1:]) for r in rows] for rows in want]
+        units.thin()
+        sizes.append(units.lattices.n_nodes)
+        assert len(units.rank) == units.lattices.n_units == len(units.uses) and " the" in units.rank
+    assert max(sizes) <= 60 and min(sizes[1:]) > 0
+
+
+def test_units_are_cut_as_without_the_short_way(pieces):
+    marks = re.search(r"\(\?=\[([^\]]+)\]\)\|", pieces.unit.pattern).group(1)
+    plain = re.compile(rf"\n+| *[^\W\d_]++(?=[{marks}])| +[^ \n]*|[^ \n]+")
+    rng = np.random.default_rng(3)
+    for _ in range(5000):
+        text = "".join(rng.choice(list(" \n\t\r.,!?;:abÉ9_汉-"), int(rng.integers(0, 12))))
+        assert pieces.units(text) == plain.findall(" " + text)
+
+
+def test_ids_of_another_text_do_not_decode_to_it(pieces):
+    texts = ["the house, and a garden of internationalization", "汉字 é\ud800\n"]
+    lat, numbers = gumbel_pieces.Units(pieces)(texts)
+    runs = [rows[0][0] for rows in gumbel_pieces.sample_texts(lat, numbers, [1, 2], 1)]
+    plain = [(" " + t).encode("utf-8", "surrogatepass") for t in texts]
+    assert pieces.decode_to(runs, plain, [0, 1]) == [True, True] and pieces.decode_to([], [], []) == []
+    for k in range(len(runs[0])):
+        other = runs[0].copy()
+        other[k] = runs[0][k - 1] if runs[0][k - 1] != runs[0][k] else pieces.bytes[65]
+        assert pieces.decode_to([runs[1], other, runs[0], runs[0][:k], np.concatenate([runs[0], runs[0]]), runs[0][:0]], plain, [1, 0, 0, 0, 0, 0]) == [True, False, True, False, False, False]
+    assert pieces.decode_to([runs[0], runs[1][:0]], [plain[1], b""], [0, 1]) == [False, True]
