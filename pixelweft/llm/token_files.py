@@ -19,6 +19,7 @@ Empty tables give no file and no row.
 from __future__ import annotations
 
 import itertools
+import operator
 import struct
 from collections.abc import Iterator
 
@@ -28,19 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelweft.llm.common import open_output, worker_memo
+from pixelweft.llm.common import open_output, text_runs, worker_memo
 from pixelweft.runtime import materialize
 
 MAGIC = b"EFIDS\x001\n"
 HEAD = struct.Struct("<8sIQQQqQQ")
 EF_HEAD = struct.Struct("<QQBQQQ")
 SAMPLE = 256
-#: Distinct chunks whose ids a worker keeps at once; half go beyond it.
-MEMO = 600_000
+#: Distinct chunks, and parts of them, whose ids a worker keeps at once; half go beyond it.
+MEMO = 1_000_000
 #: Tasks that write; beyond so many, each writes more files.
 MOST_TASKS = 100_000
 #: Tasks whose files are summed up together.
 GROUP = 1024
+#: Characters of the texts that are encoded together, and parts that the tokenizer gets at once.
+BATCH_CHARS, PARTS = 100_000, 1000
 #: Marks that may follow a chunk's letters.
 MARKS = ".,!?"
 
@@ -151,10 +154,14 @@ class Encoder:
         self.width = 2 if max(self.tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.end = b"" if end_id is None else int(end_id).to_bytes(self.width, "little")
-        self.letters: set[str] = set()
+        # Where the last token of each word says so, words are counted by it.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab() if suffix else {}
+        self.ends = np.zeros(max(vocab.values(), default=-1) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.letters = ""
         self.others: set[str] = set()
-        self.memo: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {"": b""}
 
     def _joins_letters(self, c: str) -> bool:
         """Whether this tokenizer keeps a character in one part with letters before it, apart from any mark behind it, in lower case and
@@ -172,45 +179,68 @@ class Encoder:
                 return False
         return normal.normalize_str(f"a{c}a{c}{MARKS}") == f"a{low}a{low}{MARKS}"
 
-    def _stem(self, chunk: str) -> tuple[str, str]:
-        """A chunk's letters in lower case and its marks; the chunk itself and nothing, unless all its letters are known to be parted there."""
-        stem = chunk.rstrip(MARKS)
-        if odd := set(stem).difference(self.letters):
-            for c in odd.difference(self.others):
-                (self.letters if self._joins_letters(c) else self.others).add(c)
-            if not odd.isdisjoint(self.others):
-                return chunk, ""
-        return stem.lower(), chunk[len(stem) :]
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encode parts in one call, put together with blanks, and cut the ids at the parts' places."""
+    def _learn(self, parts: list[str], single: bool) -> None:
+        """Encode parts in one call, put together with blanks, and cut the ids at the parts' places. If each part is to be a ``single`` word and there
+        are as many words as parts, they are cut where words end, which spares the places of all tokens."""
+        text = " ".join(parts)
+        if single and len(self.ends):
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
+            cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(cuts) == len(parts) + 1:
+                self._keep(parts, ids, cuts)
+                return
         starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
-        got = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        ids = np.array(got.ids, dtype=self.kind).tobytes()
-        at = np.array([o[0] for o in got.offsets], dtype=np.int64)
-        cuts = (np.searchsorted(at, starts) * self.width).tolist()
-        self.stems.update(zip(parts, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+        got = self.tokenizer.encode(text, add_special_tokens=False)
+        self._keep(parts, np.array(got.ids, dtype=np.int64), np.searchsorted(np.array([o[0] for o in got.offsets], dtype=np.int64), starts) * self.width)
+
+    def _keep(self, parts: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
+        run, at = ids.astype(self.kind).tobytes(), cuts.tolist()
+        self.memo.update(zip(parts, map(run.__getitem__, map(slice, at, at[1:])), strict=False))
+
+    def _take_in(self, chunks: dict[str, None]) -> None:
+        """Encode chunks that occur for the first time: each one's letters in lower case and its marks apart, or the chunk itself, unless all
+        its letters are known to be parted there."""
+        unseen = set("".join(chunks)).difference(self.letters, self.others)
+        self.letters += "".join(filter(self._joins_letters, sorted(unseen)))
+        self.others |= unseen.difference(self.letters)
+        letters, memo, single, whole, pairs = self.letters, self.memo, {}, {}, []
+        for c in chunks:
+            head = c.rstrip(MARKS)
+            if head.strip(letters):
+                whole[c] = None
+            elif not head or c == (low := head.lower()):
+                single[c] = None
+            else:
+                tail = c[len(head) :]
+                for part in (low, tail):
+                    if part not in memo:
+                        single[part] = None
+                pairs.append((c, low, tail))
+        for found, alone in ((single, True), (whole, False)):
+            parts = list(found)
+            for at in range(0, len(parts), PARTS):
+                self._learn(parts[at : at + PARTS], alone)
+        for c, low, tail in pairs:
+            memo[c] = memo[low] + memo[tail] if tail else memo[low]
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
-        chunks = text.replace("\n", " ").split(" ")
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, chunks)) + self.end
-        except KeyError:
-            pass
-        new = {c: self._stem(c) for c in set(chunks).difference(memo)}
-        parts = list({p for pair in new.values() for p in pair if p}.difference(self.stems))
-        if parts:
-            self._learn(parts)
-        stems = self.stems
-        stems[""] = b""
-        memo.update((c, stems[a] + stems[b]) for c, (a, b) in new.items())
-        out = b"".join(map(memo.__getitem__, chunks)) + self.end
-        for name in ("memo", "stems"):  # what came first is what comes often
-            if len(kept := getattr(self, name)) > MEMO:
-                setattr(self, name, dict(itertools.islice(kept.items(), MEMO // 2)))
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The token bytes of some texts, whose chunks are looked up once and whose new chunks are encoded together."""
+        split = [t.replace("\n", " ").split(" ") if t else () for t in texts]
+        chunks = list(itertools.chain.from_iterable(split))
+        got = list(map(self.memo.get, chunks))
+        if new := list(itertools.compress(range(len(got)), map(operator.is_, got, itertools.repeat(None)))):
+            self._take_in(dict.fromkeys(map(chunks.__getitem__, new)))
+            for i in new:
+                got[i] = self.memo[chunks[i]]
+        out, at = [], 0
+        for s in split:
+            out.append(b"".join(got[at : at + len(s)]) + self.end)
+            at += len(s)
+        if len(self.memo) > MEMO:  # what came first is what comes often
+            self.memo = dict(itertools.islice(self.memo.items(), MEMO // 2))
         return out
 
 
@@ -242,14 +272,16 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, *, id_
             return pa.RecordBatch.from_pydict({"part": pa.array([task << 32 | number], pa.int64()), "file": [path.rsplit("/", 1)[1]], "n_docs": pa.array([len(names)], pa.int64()), "n_ids": pa.array([sum(map(len, runs)) // encode.width], pa.int64())})
 
         for batch in batches:
-            for i, text in zip(batch["id"].to_pylist(), batch["body"], strict=True):
-                text = text.as_py()
-                names.append(i)
-                runs.append(encode(text))
-                held += len(text or "")
-                if held >= 2 * file_bytes:
-                    yield flush()
-                    number, names, runs, held = number + 1, [], [], 0
+            ids = batch["id"].to_pylist()
+            for a, b in text_runs(batch["body"], BATCH_CHARS):
+                texts = batch["body"].slice(a, b - a).to_pylist()
+                for i, text, run in zip(ids[a:b], texts, encode.many(texts), strict=True):
+                    names.append(i)
+                    runs.append(run)
+                    held += len(text or "")
+                    if held >= 2 * file_bytes:
+                        yield flush()
+                        number, names, runs, held = number + 1, [], [], 0
         if names:
             yield flush()
 

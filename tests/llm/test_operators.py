@@ -1060,3 +1060,20 @@ def test_ids_of_another_text_do_not_decode_to_it(pieces):
         other[k] = runs[0][k - 1] if runs[0][k - 1] != runs[0][k] else pieces.bytes[65]
         assert pieces.decode_to([runs[1], other, runs[0], runs[0][:k], np.concatenate([runs[0], runs[0]]), runs[0][:0]], plain, [1, 0, 0, 0, 0, 0]) == [True, False, True, False, False, False]
     assert pieces.decode_to([runs[0], runs[1][:0]], [plain[1], b""], [0, 1]) == [False, True]
+
+
+def test_texts_of_a_slice_are_encoded_together():
+    """New chunks of all texts reach the tokenizer in one call for words and one for the rest, and no text's ids change."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, e = Tokenizer.from_file(path), token_files.Encoder(path, 1)
+    calls, learn = [], e._learn
+    e._learn = lambda parts, single: (calls.append((list(parts), single)), learn(parts, single))
+    texts = ["The house, the Garden!", None, "", "garden. it's 12 İx\tÁb\n\nhouse ... , 汉字", "houses garden  the?!", "한 á"]
+    got = e.many(texts)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert len(calls) == 2 and [single for _, single in calls] == [True, False]
+    seen = [p for parts, _ in calls for p in parts]
+    assert len(seen) == len(set(seen)) and "garden" in seen and "Garden!" not in seen
+    assert e.many(texts) == got == [token_files.Encoder(path, 1)(t) for t in texts] and len(calls) == 2
